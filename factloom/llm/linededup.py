@@ -10,10 +10,11 @@ of processing nor on the partitions.
    by rarity, of fixed size. (Any total order keeps the prefix filter exact;
    rarity only makes it sharp.)
 2. A pass gives each line's set hash, place and, of its first n - ceil(tn) + 1
-   tokens in that order, a record with size, position and a 64-bit map of the
-   set. Records are packed, routed by token and never hold the text.
+   tokens in that order, a record with size, position and 128 parities of the
+   set. Records are packed, routed by token and never hold the text. Of equal
+   sets, a task passes on one record, so a line that's everywhere isn't a hot key.
 3. Per token, records meet: equal sets collapse to their first place; others
-   become candidates if they pass the length, prefix, positional and bitmap
+   become candidates if they pass the length, prefix, positional and parity
    filters, all of which are exact.
 4. Candidates are verified on their tokens, the earliest partner of each line
    first, the rest only for lines that it doesn't decide.
@@ -46,7 +47,7 @@ FILTER_BITS = 22
 FLUSH_BYTES = 24 << 20
 
 NO_ID = np.iinfo(np.int64).max
-PREFIX = np.dtype([("token", "<u4"), ("set", "<u8"), ("n", "<u4"), ("i", "<u4"), ("bits", "<u8")])
+PREFIX = np.dtype([("token", "<u4"), ("set", "<u8"), ("n", "<u4"), ("i", "<u4"), ("odd", "<u8", 2)])
 PLACE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 FOUND = "kind int, a long, b long, line int"
 DUPLICATE, FIRST, CANDIDATE = 0, 1, 2
@@ -138,6 +139,18 @@ def packed(records: np.ndarray, part: np.ndarray, kind: int):
         yield int(where), kind, own.tobytes()
 
 
+def distinct(records: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The order without records whose token and set are as before."""
+    token, name = records["token"][order], records["set"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
+    return order[new]
+
+
+def different(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return (places["doc"] != others["doc"]) | (places["line"] != others["line"])
+
+
 def sketch(parts: int, rank: np.ndarray, num: int, den: int):
     """The second pass: packed records of lines and of prefix tokens."""
 
@@ -145,9 +158,15 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
         rows = []
         if places:
             all_ = np.concatenate(places)
-            rows += packed(all_, (all_["set"] % np.uint64(parts)).astype(np.int64), 0)
+            all_ = all_[np.lexsort((all_["line"], all_["doc"], all_["set"]))]
+            new = np.ones(len(all_), bool)
+            new[1:] = all_["set"][1:] != all_["set"][:-1]
+            later = all_[~new & different(all_, all_[np.flatnonzero(new)[np.cumsum(new) - 1]])]
+            rows += packed(all_[new], (all_["set"][new] % np.uint64(parts)).astype(np.int64), 0)
+            rows += packed(later, (K.mix(later["doc"].view(np.uint64)) % np.uint64(parts)).astype(np.int64), 2)
         if prefixes:
             all_ = np.concatenate(prefixes)
+            all_ = all_[distinct(all_, np.lexsort((all_["set"], all_["token"])))]
             rows += packed(all_, (all_["token"] % np.uint32(parts)).astype(np.int64), 1)
         places.clear(), prefixes.clear()
         for part, kind, data in rows:
@@ -167,12 +186,14 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
                 keep = lines.n - ceil_of(lines.n, num, den) + 1
                 keep[ceil_of(lines.n, num, den) >= lines.n] = 0  # so small that only equal sets match
                 if keep.any():
-                    bits = np.bitwise_or.reduceat(np.uint64(1) << (lines.h & np.uint64(63)), at)
+                    one = np.uint64(1) << (lines.h & np.uint64(63))
+                    high = (lines.h & np.uint64(64)) > 0
+                    odd = np.stack([np.bitwise_xor.reduceat(np.where(high == side, one, np.uint64(0)), at) for side in (False, True)], axis=1)
                     which = np.repeat(np.arange(len(at)), keep)
                     token = K.ragged(at, keep)
                     prefix = np.empty(len(token), PREFIX)
                     prefix["token"] = (lines.h[token] >> np.uint64(8)).astype(np.uint32)
-                    prefix["set"], prefix["n"], prefix["bits"] = lines.set[which], lines.n[which], bits[which]
+                    prefix["set"], prefix["n"], prefix["odd"] = lines.set[which], lines.n[which], odd[which]
                     prefix["i"] = token - at[which]
                     prefixes.append(prefix)
                     size += prefix.nbytes
@@ -187,12 +208,8 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
 
 def candidates(records: np.ndarray, num: int, den: int):
     """Pairs of sets that share a prefix token and pass all filters."""
-    records = records[np.lexsort((records["set"], records["n"], records["token"]))]
-    if len(records):
-        new = np.ones(len(records), bool)
-        new[1:] = (records["token"][1:] != records["token"][:-1]) | (records["set"][1:] != records["set"][:-1])
-        records = records[new]
-    token, size, at, bits, name = (np.ascontiguousarray(records[c]) for c in ("token", "n", "i", "bits", "set"))
+    records = records[distinct(records, np.lexsort((records["set"], records["n"], records["token"])))]
+    token, size, at, odd, name = (np.ascontiguousarray(records[c]) for c in ("token", "n", "i", "odd", "set"))
     size, at = size.astype(np.int64), at.astype(np.int64)
     short = at <= size - ceil_of(size, 2 * num, num + den)  # prefix of the smaller side
     live = np.arange(len(records))
@@ -206,7 +223,9 @@ def candidates(records: np.ndarray, num: int, den: int):
         j = i + step
         need = ceil_of(size[i] + size[j], num, num + den)
         ok = np.minimum(at[i], at[j]) + 1 + np.minimum(size[i] - at[i], size[j] - at[j]) - 1 >= need
-        ok &= np.bitwise_count(bits[i] ^ bits[j]) <= size[i] + size[j] - 2 * need
+        i, j, need = i[ok], j[ok], need[ok]
+        # a token that only one side has flips a parity: there are as many such tokens at least
+        ok = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
         i, j = i[ok], j[ok]
         if len(i):
             yield np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
@@ -222,20 +241,22 @@ def meet(num: int, den: int):
             yield pa.record_batch([pa.array(np.full(len(a[own]), kind, np.int32)), pa.array(a[own].astype(np.int64)), pa.array(b[own].astype(np.int64)), pa.array(np.zeros(len(a[own]), np.int32) if line is None else line[own])], ["kind", "a", "b", "line"])
 
     def run(batches):
-        data: tuple[list, list] = ([], [])
+        data: tuple[list, list, list] = ([], [], [])
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("data")):
-                data[kind].append(np.frombuffer(blob.as_buffer(), (PLACE, PREFIX)[kind]).copy())
+                data[kind].append(np.frombuffer(blob.as_buffer(), (PLACE, PREFIX, PLACE)[kind]).copy())
         if data[0]:
             places = np.concatenate(data[0])
             places = places[np.lexsort((places["line"], places["doc"], places["set"]))]
             new = np.ones(len(places), bool)
             new[1:] = places["set"][1:] != places["set"][:-1]
             lead = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = (places["doc"] != lead["doc"]) | (places["line"] != lead["line"])
+            later = different(places, lead)
             yield from rows(DUPLICATE, places["doc"][later], places["doc"][later], places["line"][later])
             yield from rows(FIRST, places["set"][new].view(np.int64), places["doc"][new], places["line"][new])
             del places, lead
+        for places in data[2]:
+            yield from rows(DUPLICATE, places["doc"], places["doc"], places["line"])
         if data[1]:
             records = np.concatenate(data[1])
             data[1].clear()
