@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, linededup, neardup, ppm, sentencepieces, toxicity
+from factloom.llm import decontaminate, langid, linededup, neardup, ppm, sentencepieces, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.code_lengths(read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_language_id": op2_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_language_id": langid.LANGUAGE_SQL,
     "op4_line_dedup": linededup.LINES_SQL,
     "op7_decontaminate": decontaminate.LEAKS_SQL,
 }
