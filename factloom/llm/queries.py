@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, langid, licenses, linededup, neardup, neighbours, ppm, sentencepieces, toxicity
+from factloom.llm import chats, decontaminate, langid, licenses, linededup, neardup, neighbours, ppm, sentencepieces, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(read(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.render(chats.event_log(read(spark, sf_dir, "conversations")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_sentencepiece": op8_sentencepiece,
@@ -64,5 +69,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_language_id": langid.LANGUAGE_SQL,
     "op3_license_scan": licenses.LICENSE_SQL,
     "op4_line_dedup": linededup.LINES_SQL,
+    "op5_chat_format": chats.RENDER_SQL,
     "op7_decontaminate": decontaminate.LEAKS_SQL,
 }
