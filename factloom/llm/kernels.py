@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 
 _P = 0x9E3779B97F4A7C55
 _P_INVERSE = pow(_P, -1, 1 << 64)

@@ -38,6 +38,8 @@ from factloom.llm import kernels as K
 #: Where the model file is; a cluster gives its own path.
 MODEL_PATH = os.environ.get("FACTLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
+#: Bytes of text segmented at once: more than elsewhere, as a word's second occurrence costs next to nothing.
+CHUNK = 3 << 20
 ENCODED = "doc_id long, ids array<int>, n_tokens int, round_trip boolean"
 
 
@@ -271,7 +273,7 @@ def segment(p: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         length = int(lengths[group[0]])
         if not length:
             continue
-        rows = max(1, (1 << 21) // length)
+        rows = max(1, (1 << 17) // length)
         for k in range(0, len(group), rows):
             own = group[k : k + rows]
             chars = codes[starts[own][:, None] + np.arange(length)].astype(np.uint64)
@@ -368,7 +370,7 @@ def encoded(documents: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     def run(batches):
         seen = Words()
         for batch in batches:
-            for part in K.chunks(batch):
+            for part in K.chunks(batch, size=CHUNK):
                 texts = part.column("text")
                 ids, counts = encode(p, texts, seen)
                 ends = np.cumsum(counts)
