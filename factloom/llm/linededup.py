@@ -184,7 +184,7 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
                 places.append(place)
                 at = lines.first[:-1]
                 keep = lines.n - ceil_of(lines.n, num, den) + 1
-                keep[ceil_of(lines.n, num, den) >= lines.n] = 0  # so small that only equal sets match
+                keep[(ceil_of(lines.n, num, den) >= lines.n) & (lines.n * den // num <= lines.n)] = 0  # so small that only equal sets match
                 if keep.any():
                     one = np.uint64(1) << (lines.h & np.uint64(63))
                     high = (lines.h & np.uint64(64)) > 0
