@@ -13,7 +13,8 @@ shuffles nothing. Features are 32-bit hashes.
 Defined results: a null or empty text has no features, so it gets the
 intercepts' probabilities. Labels: of repeated ids the largest counts, null ids
 and null labels don't; a category with no labels, or only one value of them,
-gets the smoothed share of positives. Rows count for themselves, so
+gets the smoothed share of positives, so that without labels nothing is
+rejected. Rows count for themselves, so
 repeated rows get equal scores. Other columns are ignored by ``score`` and kept
 by ``drop_toxic``.
 """
@@ -212,7 +213,7 @@ def score(documents: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SA
         for batch in batches:
             for part in K.chunks(batch):
                 p = scorer(part.column("text"))
-                yield pa.record_batch([part.column("doc_id"), *map(pa.array, p.T), pa.array(p[:, -1] >= DECISION)], ["doc_id", *columns, "is_toxic"])
+                yield pa.record_batch([part.column("doc_id"), *map(pa.array, p.T), pa.array(p[:, -1] > DECISION)], ["doc_id", *columns, "is_toxic"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} double" for c in columns), "is_toxic boolean"]))
@@ -225,6 +226,6 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, chain=CHAIN, sample: int
     def run(batches):
         for batch in batches:
             for part in K.chunks(batch):
-                yield part.filter(pa.array(scorer(part.column("text"))[:, -1] < DECISION))
+                yield part.filter(pa.array(scorer(part.column("text"))[:, -1] <= DECISION))
 
     return documents.mapInArrow(run, documents.schema)
