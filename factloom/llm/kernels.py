@@ -8,6 +8,7 @@ by a 64-bit hash of its bytes. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ _P_INVERSE = pow(_P, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
 for _range in (range(48, 58), range(97, 123), range(128, 256)):
     _WORD[list(_range)] = True
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -61,6 +63,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = 0) -> Iterat
         to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers live on from stage to stage."""
+    if _trim is not None:
+        _trim(0)
 
 
 def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
