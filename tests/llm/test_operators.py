@@ -192,6 +192,23 @@ def test_near_duplicates(docs, empty):
     assert neardup.groups(empty).count() == 0 and neardup.drop_copies(empty).count() == 0
 
 
+def test_near_duplicates_recall_above_the_threshold(spark):
+    rng = random.Random(11)
+    texts, due = [], {}
+    for n in range(400):
+        x = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        y = list(x)
+        edits = (15, 14, 12, 9)[n % 4]  # similarities of 0.75, 0.77, 0.8 and 0.85
+        for at in rng.sample(range(60), edits):
+            y[at] = f"v{rng.randrange(10**9)}"
+        assert 1 - brute.edit_distance(x, y) / 60 >= neardup.SIMILARITY
+        texts += [(2 * n, " ".join(x)), (2 * n + 1, " ".join(y))]
+        due.setdefault(edits, []).append(2 * n)
+    got = {r["doc_id"]: r["group_id"] for r in neardup.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for edits, firsts in due.items():
+        assert np.mean([got.get(i + 1) == i for i in firsts]) >= 0.9, edits
+
+
 def test_aligned_like_the_plain_distance():
     rng = np.random.default_rng(1)
     xs, ys = [], []
