@@ -1,7 +1,7 @@
 """Line deduplication as an exact set-similarity self-join.
 
 A line is the set of its tokens. It's removed if any line at an earlier place in
-the corpus, places being ordered by (doc_id, line number), has a Jaccard
+the corpus, places being ordered by (doc_id, line number, row), has a Jaccard
 similarity of at least THRESHOLD with it; equal lines included, whether or not
 the earlier line is itself removed. So the result depends neither on the order
 of processing nor on the partitions.
@@ -21,9 +21,11 @@ of processing nor on the partitions.
 
 Tokens and sets are told apart by 64-bit hashes.
 
-Defined results: null texts and lines without tokens are never removed; rows
-with the same id are the same place, so they don't remove each other's line of
-the same number; null ids come last and come out as null. Very long lines are
+Defined results: null texts and lines without tokens are never removed. Every
+row has its own places: rows without id, and rows that share an id, are told
+apart by a hash of their text. Only rows equal in id and text are one place, so
+they don't remove each other's lines; of equal rows without id all but one are
+copies of it. Null ids come last and come out as null. Very long lines are
 lines like any other. Other columns are ignored by ``repeated_lines`` and kept
 unchanged by ``strip_lines``, but for n_chars.
 """
@@ -32,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import kernels as K
@@ -46,10 +48,11 @@ FILTER_BITS = 22
 #: Bytes of records that a task gathers before it passes them on.
 FLUSH_BYTES = 24 << 20
 
+TOKEN = "[0-9a-z\\x{80}-\\x{10FFFF}]"
 NO_ID = np.iinfo(np.int64).max
 PREFIX = np.dtype([("token", "<u4"), ("set", "<u8"), ("n", "<u4"), ("i", "<u4"), ("odd", "<u8", 2)])
-PLACE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("line", "<i4")])
-FOUND = "kind int, a long, b long, line int"
+PLACE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("row", "<i8")])
+FOUND = "kind int, a long, b long, line int, row long"
 DUPLICATE, FIRST, CANDIDATE = 0, 1, 2
 
 
@@ -148,7 +151,7 @@ def distinct(records: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def different(places: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return (places["doc"] != others["doc"]) | (places["line"] != others["line"])
+    return (places["doc"] != others["doc"]) | (places["line"] != others["line"]) | (places["row"] != others["row"])
 
 
 def sketch(parts: int, rank: np.ndarray, num: int, den: int):
@@ -158,7 +161,7 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
         rows = []
         if places:
             all_ = np.concatenate(places)
-            all_ = all_[np.lexsort((all_["line"], all_["doc"], all_["set"]))]
+            all_ = all_[np.lexsort((all_["row"], all_["line"], all_["doc"], all_["set"]))]
             new = np.ones(len(all_), bool)
             new[1:] = all_["set"][1:] != all_["set"][:-1]
             later = all_[~new & different(all_, all_[np.flatnonzero(new)[np.cumsum(new) - 1]])]
@@ -181,6 +184,7 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
                 lines = Lines(chunk.column("text"), rank)
                 place = np.empty(len(lines.n), PLACE)
                 place["set"], place["doc"], place["line"] = lines.set, ids_of(chunk)[lines.doc], lines.line
+                place["row"] = chunk.column("row").to_numpy()[lines.doc]
                 places.append(place)
                 at = lines.first[:-1]
                 keep = lines.n - ceil_of(lines.n, num, den) + 1
@@ -234,11 +238,11 @@ def candidates(records: np.ndarray, num: int, den: int):
 def meet(num: int, den: int):
     """The third pass, per partition of tokens and sets."""
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, line: np.ndarray | None = None):
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, line: np.ndarray | None = None, row: np.ndarray | None = None):
         n = len(a)
         for k in range(0, n, 1 << 18):
             own = slice(k, k + (1 << 18))
-            yield pa.record_batch([pa.array(np.full(len(a[own]), kind, np.int32)), pa.array(a[own].astype(np.int64)), pa.array(b[own].astype(np.int64)), pa.array(np.zeros(len(a[own]), np.int32) if line is None else line[own])], ["kind", "a", "b", "line"])
+            yield pa.record_batch([pa.array(np.full(len(a[own]), kind, np.int32)), pa.array(a[own].astype(np.int64)), pa.array(b[own].astype(np.int64)), pa.array(np.zeros(len(a[own]), np.int32) if line is None else line[own]), pa.array(np.zeros(len(a[own]), np.int64) if row is None else row[own])], ["kind", "a", "b", "line", "row"])
 
     def run(batches):
         data: tuple[list, list, list] = ([], [], [])
@@ -247,16 +251,16 @@ def meet(num: int, den: int):
                 data[kind].append(np.frombuffer(blob.as_buffer(), (PLACE, PREFIX, PLACE)[kind]).copy())
         if data[0]:
             places = np.concatenate(data[0])
-            places = places[np.lexsort((places["line"], places["doc"], places["set"]))]
+            places = places[np.lexsort((places["row"], places["line"], places["doc"], places["set"]))]
             new = np.ones(len(places), bool)
             new[1:] = places["set"][1:] != places["set"][:-1]
             lead = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
             later = different(places, lead)
-            yield from rows(DUPLICATE, places["doc"][later], places["doc"][later], places["line"][later])
-            yield from rows(FIRST, places["set"][new].view(np.int64), places["doc"][new], places["line"][new])
+            yield from rows(DUPLICATE, places["doc"][later], places["doc"][later], places["line"][later], places["row"][later])
+            yield from rows(FIRST, places["set"][new].view(np.int64), places["doc"][new], places["line"][new], places["row"][new])
             del places, lead
         for places in data[2]:
-            yield from rows(DUPLICATE, places["doc"], places["doc"], places["line"])
+            yield from rows(DUPLICATE, places["doc"], places["doc"], places["line"], places["row"])
         if data[1]:
             records = np.concatenate(data[1])
             data[1].clear()
@@ -323,18 +327,25 @@ def verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
     return pairs.select("early", "late").join(x, "early").join(y, "late").select("early", "late", "x", "y").mapInArrow(run, "early long, late long")
 
 
-def repeated_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, line_no): all lines, counted from 0, that repeat an earlier line."""
+def row_key(documents: DataFrame) -> Column:
+    """What tells rows without id, and rows with the same id, apart; 0 where the id does."""
+    again = documents.where("doc_id is not null").groupBy(F.col("doc_id").cast("long")).count().where("count > 1")
+    text = F.xxhash64(F.col("text").cast("string"))
+    return F.when(F.col("doc_id").cast("long").isNull(), text).otherwise(F.lit(0).cast("long")) if again.isEmpty() else text
+
+
+def repeated_places(documents: DataFrame, key: Column, threshold: tuple[int, int]) -> DataFrame:
+    """(doc_id, row, line_no): the repeated lines' places, row being the key; rows equal in id and text are one."""
     num, den = threshold
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row")).where("text is not null")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     packed_ = docs.mapInArrow(sketch(parts, rarity(docs), num, den), "part int, kind int, data binary")
     found = cut(packed_.repartitionById(parts, F.col("part")).select("kind", "data").mapInArrow(meet(num, den), FOUND))
 
-    firsts = found.where(F.col("kind") == FIRST).select(F.col("a").alias("set"), F.col("b").alias("doc"), "line")
+    firsts = found.where(F.col("kind") == FIRST).select(F.col("a").alias("set"), F.col("b").alias("doc"), "line", "row")
     pairs = found.where(F.col("kind") == CANDIDATE).select("a", "b").distinct()
-    place = F.struct("doc", "line", "set").alias("place")
+    place = F.struct("doc", "line", "row", "set").alias("place")
     sides = pairs
     for side in ("a", "b"):
         sides = sides.join(firsts.select(F.col("set").alias(side), place.alias(f"{side}_place")), side)
@@ -347,9 +358,19 @@ def repeated_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD)
     sure = cut(verified(nearest, tokens, num, den))
     open_ = pairs.join(nearest, ["early", "late"], "left_anti").join(sure.select("late"), "late", "left_anti")
     removed = sure.select("late").union(verified(open_, tokens, num, den).select("late")).distinct()
-    near = firsts.join(removed, firsts["set"] == removed["late"], "left_semi").select("doc", "line")
-    same = found.where(F.col("kind") == DUPLICATE).select(F.col("a").alias("doc"), "line")
-    return same.union(near).distinct().select(F.when(F.col("doc") != int(NO_ID), F.col("doc")).alias("doc_id"), F.col("line").alias("line_no"))
+    near = firsts.join(removed, firsts["set"] == removed["late"], "left_semi").select("doc", "line", "row")
+    same = found.where(F.col("kind") == DUPLICATE).select(F.col("a").alias("doc"), "line", "row")
+    return same.union(near).distinct().select(F.when(F.col("doc") != int(NO_ID), F.col("doc")).alias("doc_id"), "row", F.col("line").alias("line_no"))
+
+
+def repeated_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, line_no): all lines, counted from 0, that repeat an earlier line; once for each place."""
+    removed = repeated_places(documents, row_key(documents), threshold).select("doc_id", "line_no")
+    copies = documents.where("doc_id is null and text is not null").groupBy("text").count().where("count > 1")
+    if copies.isEmpty():
+        return removed
+    lines = copies.select("count", F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line")).where(F.lower("line").rlike(TOKEN))
+    return removed.union(lines.select(F.lit(None).cast("long"), "line_no", F.explode(F.sequence(F.lit(2), "count"))).select(F.lit(None).cast("long"), "line_no"))
 
 
 def strip_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -358,14 +379,19 @@ def strip_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     A document all of whose lines with tokens are removed says nothing new and is
     dropped; one that had none is kept as it is. n_chars, if there, follows the text.
     """
-    removed = repeated_lines(documents, threshold).groupBy("doc_id").agg(F.collect_set("line_no").alias("__lines"))
-    removed = removed.withColumnRenamed("doc_id", "__doc")
-    joined = documents.join(removed, documents["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left")
+    if not documents.where("doc_id is null").isEmpty():
+        named = F.col("doc_id").isNotNull() | F.col("text").isNull() | ~F.lower("text").rlike(TOKEN)
+        documents = documents.where(named).union(documents.where(~named).dropDuplicates(["text"]))
+    key = row_key(documents)
+    removed = repeated_places(documents, key, threshold).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("__lines"))
+    removed = removed.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "__lines")
+    keyed = documents.withColumn("__key", key)
+    joined = keyed.join(removed, keyed["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__row")), "left")
     kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(__lines, i)), '\n')")
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)
     joined = joined.withColumn("__kept", text)
-    some = F.col("__lines").isNull() | F.lower("__kept").rlike("[0-9a-z\\x{80}-\\x{10FFFF}]")
-    columns = [F.col("__kept").alias(c) if c == "text" else F.when(F.col("__lines").isNull(), documents[c]).otherwise(F.length("__kept")).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else documents[c] for c in documents.columns]
+    some = F.col("__lines").isNull() | F.lower("__kept").rlike(TOKEN)
+    columns = [F.col("__kept").alias(c) if c == "text" else F.when(F.col("__lines").isNull(), keyed[c]).otherwise(F.length("__kept")).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else keyed[c] for c in documents.columns]
     return joined.where(some).select(columns)
 
 

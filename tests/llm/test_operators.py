@@ -102,6 +102,19 @@ def test_line_dedup(docs, empty):
     assert linededup.repeated_lines(empty).count() == 0 and linededup.strip_lines(empty).count() == 0
 
 
+def test_line_dedup_keeps_rows_apart(spark):
+    rng = random.Random(4)
+    a, b, c, d, e = (phrase(rng, 12) for _ in range(5))
+    texts = [(1, a), (None, b + "\n" + c), (None, d + "\n" + a), (7, e), (7, a + "\n" + e + " more"), (None, d + " again\n" + a), (None, b + "\n" + c)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in linededup.strip_lines(df).collect()]
+    assert got.count((None, b + "\n" + c)) == 1 and len(got) == 4
+    assert (1, a) in got and ((None, d) in got) + ((None, d + " again") in got) == 1
+    assert ((7, e) in got) and (7, e + " more") not in got
+    lines = sorted((-1 if r[0] is None else r[0], r[1]) for r in linededup.repeated_lines(df).collect())
+    assert lines == [(-1, 0), (-1, 0), (-1, 1), (-1, 1), (-1, 1), (7, 0), (7, 1)]
+
+
 def test_chats(spark):
     log = [
         (1, 5, "delta", 1, None, "lo"), (1, 4, "delta", 1, None, "hel"), (1, 3, "open", 1, "user", None), (1, 4, "delta", 1, None, "hel"),
