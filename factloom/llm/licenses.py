@@ -12,7 +12,14 @@ template of m tokens:
 * position: the first token in common, at places i and j, leaves an overlap of
   at most 1 + min(m - i - 1, n - j - 1).
 
-What is left is verified by its overlap. Templates are a parameter and small; the
+What is left is verified by its overlap.
+
+A template wrapped over lines is found in a run of consecutive tokens that goes
+across line ends, if the run has as many of its distinct tokens and, without one
+token for each line end (as a comment's mark may be), isn't longer than the
+template over THRESHOLD. Such a find has the line that the run begins in; none
+is reported that overlaps another find of the template. The same prefix says
+where to look. Templates are a parameter and small; the
 documents are passed over twice and never shuffled.
 
 Defined results: null texts and lines without template tokens have no finds;
@@ -63,9 +70,45 @@ class Blocks:
         both, one = np.unique(line * len(keys) + at, return_index=True) if len(some) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.line, self.token = both // max(1, len(keys)), both % max(1, len(keys))
         self.doc = t.doc[some[one]]
+        self.all = some, at, line, t.doc[some]  # every occurrence: position, token, line, document
+        self.begin = newlines[t.offsets[:-1]] + np.arange(len(t.offsets) - 1)  # each document's first line
         self.number = line[one] - newlines[t.offsets[self.doc]] - self.doc
 
 
+def wrapped(pos: np.ndarray, token: np.ndarray, line: np.ndarray, doc: np.ndarray, m: int, length: int, need: int, threshold: tuple[int, int], found: set[int]) -> list[tuple[int, int, int]]:
+    """(document, line, overlap) of a template's runs across line ends; of its tokens the places of all occurrences are given, found has the lines that hold it alone."""
+    num, den = threshold
+    most = length * den // num
+    near = pos[token < m - need + 1]  # the prefix
+    if not len(near):
+        return []
+    at = np.searchsorted(near, pos)
+    gap = np.minimum(np.abs(near[np.minimum(at, len(near) - 1)] - pos), np.abs(pos - near[np.maximum(at - 1, 0)]))
+    pos, token, line, doc = (x[gap < 2 * most] for x in (pos, token, line, doc))
+    cut_ = np.append(True, (np.diff(pos) >= 2 * most) | (np.diff(doc) != 0))
+    part = np.cumsum(cut_) - 1
+    kinds = np.bincount(np.unique(part * m + token) // m, minlength=part[-1] + 1)
+    begins = np.append(np.flatnonzero(cut_), len(pos))
+    out = []
+    for p in np.flatnonzero((kinds >= need) & (line[begins[1:] - 1] > line[begins[:-1]])):
+        last: dict[int, int] = {}  # of each token the last entry
+        for e in range(begins[p], begins[p + 1]):
+            if line[e] in found:
+                last.clear()
+                continue
+            last[token[e]] = e
+            if len(last) < need:
+                continue
+            s = sorted(last.values())[-need]
+            ends = line[e] - line[s]
+            if ends and pos[e] - pos[s] + 1 <= most + min(ends, length):
+                whole = slice(s, np.searchsorted(pos[: begins[p + 1]], pos[s] + most + min(ends, length)))
+                rest = ~np.isin(line[whole], list(found))
+                out.append((int(doc[s]), int(line[s]), len(np.unique(token[whole][rest]))))
+                last.clear()
+    return out
+
+
 def scan(documents: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, line_no, template, overlap, containment) of all finds; lines count from 0."""
     num, den = threshold
@@ -87,6 +130,7 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] =
     rank = np.empty(len(keys), np.int64)
     rank[np.lexsort((keys, frequency))] = np.arange(len(keys))
     ordered = [np.sort(rank[np.searchsorted(keys, s)]) for s in sets]  # each template's tokens by rarity
+    lengths = np.diff(t.first)
     need = np.array([int(ceil_of(np.int64(len(s)), num, den)) for s in sets], np.int64)
 
     def find(batches):
@@ -99,6 +143,8 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] =
                 begins = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
                 block = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(line))))
                 size = np.bincount(block, minlength=len(begins))
+                pos, token, lines, docs_of = b.all
+                token = rank[token] if len(token) else token
                 for k, own in enumerate(ordered):
                     m, o = len(own), need[k]
                     if not m:
@@ -112,9 +158,17 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] =
                     head = head[1 + np.minimum(m - i[at] - 1, size[head] - j - 1) >= o]
                     overlap = np.bincount(block[shared], minlength=len(begins))[head]
                     head, overlap = head[overlap * den >= num * m], overlap[overlap * den >= num * m]
+                    alone: set[int] = set()
                     if len(head):
                         first = begins[head]
+                        alone = set(line[first].tolist())
                         yield pa.record_batch([part.column("doc_id").take(pa.array(doc[first])), pa.array(number[first].astype(np.int32)), pa.array([templates[k][0]] * len(head), pa.string()), pa.array(overlap.astype(np.int32)), pa.array(overlap / m)], ["doc_id", "line_no", "template", "overlap", "containment"])
+                    of = np.searchsorted(own, token)
+                    some = own[np.minimum(of, m - 1)] == token
+                    runs = wrapped(pos[some], of[some], lines[some], docs_of[some], m, int(lengths[k]), int(o), threshold, alone)
+                    if runs:
+                        d, n, c = np.array(runs).T
+                        yield pa.record_batch([part.column("doc_id").take(pa.array(d)), pa.array((n - b.begin[d]).astype(np.int32)), pa.array([templates[k][0]] * len(d), pa.string()), pa.array(c.astype(np.int32)), pa.array(c / m)], ["doc_id", "line_no", "template", "overlap", "containment"])
 
     return docs.mapInArrow(find, FOUND)
 

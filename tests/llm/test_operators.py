@@ -88,6 +88,18 @@ def test_license_scan(docs, empty):
     assert licenses.scan(docs, (("none", "!?"),)).count() == 0
 
 
+def test_license_scan_wrapped(spark):
+    texts = {
+        1: "int x;\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the\n * thing)",
+        2: "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided",
+        3: "first\n\n// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.",
+        4: "Licensed under the Apache License, Version 2.0.\nmit anderen", 5: "All rights reserved.\nAll\nrights reserved.",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["line_no"], r["template"], r["containment"]) for r in licenses.scan(df).collect())
+    assert got == [(1, 1, "mit-grant", 1.0), (2, 0, "bsd", 1.0), (3, 2, "mpl-2.0", 1.0), (4, 0, "apache-2.0", 1.0), (5, 0, "all-rights-reserved", 1.0), (5, 1, "all-rights-reserved", 1.0)]
+
+
 def test_line_dedup(docs, empty):
     some = docs.where("doc_id is not null and doc_id not in (9, 10)")
     own = [(r[0], r[1]) for r in rows() if r[0] is not None and r[0] not in (9, 10)]
