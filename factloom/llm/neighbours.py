@@ -8,7 +8,9 @@ the sum of the squared distances to the cells' borders that a perturbation
 crosses. The candidates of all tables are merged and ranked by exact distance.
 
 Rows travel packed to the partitions of their buckets, queries once to each
-partition that has some of theirs; a bucket's distances are one matrix product.
+partition that has some of theirs; a bucket's distances are one matrix product
+in single precision, and every row that its rounding may put among the k nearest
+ids is ranked by exact distance.
 More rows want more HASHES (smaller buckets) with more TABLES and PROBES.
 
 Defined results: rows whose vector is null, has nulls or isn't finite, or has
@@ -37,7 +39,6 @@ HASHES = 6
 WIDTH = 2.0
 TABLES = 4
 PROBES = 16
-SPARE = 6  # candidates beyond k that single precision keeps for the exact ranking
 SEED = 20240229
 
 
@@ -140,11 +141,39 @@ def best_of(hits: np.ndarray, k: int) -> np.ndarray:
     return hits[rank < k]
 
 
-def top(d: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k smallest."""
-    if d.shape[1] <= k:
-        return np.tile(np.arange(d.shape[1]), (len(d), 1))
-    return np.argpartition(d, k - 1, axis=1)[:, :k]
+def apart(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a bucket that can count: of equal vectors, whose distances are all equal, those of the k + 1 smallest ids, once each."""
+    odd = K_.mix(np.arange(1, v.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+    h = (np.ascontiguousarray(v).view(np.uint32) * odd).sum(axis=1)
+    order = np.lexsort((ids, h))
+    same = np.zeros(len(ids), bool)
+    same[1:] = (h[order[1:]] == h[order[:-1]]) & (v[order[1:]] == v[order[:-1]]).all(axis=1)
+    if not same.any():
+        return np.arange(len(ids))
+    new = ~same
+    new[1:] |= ids[order[1:]] != ids[order[:-1]]
+    place = np.cumsum(new)
+    place -= place[np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))]
+    return np.sort(order[new & (place <= k)])
+
+
+def shortlist(q: np.ndarray, mine: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all rows that may be among a query's k nearest other ids, within the bound of single precision's rounding. ids ascend."""
+    centre = v.mean(axis=0, dtype=np.float64)
+    own, rows = q - centre, v - centre
+    reach, far = np.sqrt((own * own).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1).max())
+    scale = max(far, reach.max()) or 1.0
+    reach, far = reach / scale, far / scale
+    own, rows = (own / scale).astype(np.float32), (rows / scale).astype(np.float32)
+    d = np.einsum("ij,ij->i", rows, rows)[None] - 2 * (own @ rows.T)  # the query's own norm doesn't change its order
+    d[mine[:, None] == ids[None]] = np.inf
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    each = d if len(first) == len(ids) else np.minimum.reduceat(d, first, axis=1)
+    if each.shape[1] <= k:
+        return np.nonzero(d < np.inf)
+    limit = np.partition(each, k - 1, axis=1)[:, k - 1]
+    slack = (v.shape[1] + 16) * 2.0**-23 * (far * far + 2 * far * reach) + 1e-30
+    return np.nonzero((d <= (limit + 2 * slack)[:, None]) & (d < np.inf))
 
 
 def nearest(df: DataFrame, k: int = K, hashes: int = HASHES, width: float = WIDTH, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -159,7 +188,6 @@ def nearest(df: DataFrame, k: int = K, hashes: int = HASHES, width: float = WIDT
     member = np.dtype([("bucket", "<u8"), ("id", "<i8"), ("v", "<f4", size)])
     query = np.dtype([("id", "<i8"), ("v", "<f4", size)])
     visit = np.dtype([("bucket", "<u8"), ("row", "<u4")])
-    spare = k + SPARE
 
     def route(batches):
         def rows_of(part: np.ndarray, records: np.ndarray, kind: int):
@@ -210,30 +238,32 @@ def nearest(df: DataFrame, k: int = K, hashes: int = HASHES, width: float = WIDT
         if not members or not queries:
             return
         m, q, r = np.concatenate(members), np.concatenate(queries), np.concatenate(visits)
-        m, r = m[np.argsort(m["bucket"], kind="stable")], r[np.argsort(r["bucket"], kind="stable")]
+        m, r = m[np.lexsort((m["id"], m["bucket"]))], r[np.argsort(r["bucket"], kind="stable")]
         names, first = np.unique(m["bucket"], return_index=True)
         last = np.append(first[1:], len(m))
         for name, lo, hi in zip(names, first, last):
             a, b = np.searchsorted(r["bucket"], name, side="left"), np.searchsorted(r["bucket"], name, side="right")
             ids, v = m["id"][lo:hi], np.ascontiguousarray(m["v"][lo:hi])
-            norm = np.einsum("ij,ij->i", v, v)
+            keep = apart(ids, v, k)
+            ids, v = ids[keep], v[keep]
             step = max(1, (4 << 20) // len(v))
             for c in range(a, b, step):
                 who = r["row"][c : min(b, c + step)]
                 own, mine = np.ascontiguousarray(q["v"][who]), q["id"][who]
-                d = norm[None] - 2 * (own @ v.T)  # the query's own norm doesn't change its order
-                d[mine[:, None] == ids[None]] = np.inf
-                best = top(d, spare)
-                exact = ((own[:, None].astype(np.float64) - v[best]) ** 2).sum(axis=2)
-                found = np.empty(best.size, HIT)
-                found["id"], found["d"], found["near"] = np.repeat(mine, best.shape[1]), np.sqrt(exact).ravel(), ids[best].ravel()
-                held.append(found[found["id"] != found["near"]])
-                size_held += len(held[-1])
-                if size_held > 2 << 20:
-                    held = [best_of(np.concatenate(held), k)]
-                    size_held = 0
-                    if len(held[0]) > 1 << 20:
-                        yield from send(held.pop())
+                i, j = shortlist(own, mine, ids, v, k)
+                slices = max(1, (1 << 21) // size)
+                for e in range(0, len(i), slices):
+                    x, y = i[e : e + slices], j[e : e + slices]
+                    found = np.empty(len(x), HIT)
+                    found["id"], found["near"] = mine[x], ids[y]
+                    found["d"] = np.sqrt(((own[x].astype(np.float64) - v[y]) ** 2).sum(axis=1))
+                    held.append(found)
+                    size_held += len(found)
+                    if size_held > 2 << 20:
+                        held = [best_of(np.concatenate(held), k)]
+                        size_held = 0
+                        if len(held[0]) > 1 << 20:
+                            yield from send(held.pop())
         if held:
             yield from send(best_of(np.concatenate(held), k))
 

@@ -196,6 +196,23 @@ def test_neighbours_recall(spark, sf_dir):
     assert np.mean([len(due[i] & got.get(i, set())) / 10 for i in due]) >= 0.9
 
 
+def test_neighbours_among_copies(spark):
+    rng = np.random.default_rng(7)
+    one = rng.normal(size=8).astype(np.float32)
+    same = [(int(i), one.tolist()) for i in rng.permutation(1000)]
+    got: dict = {}
+    for r in neighbours.nearest(spark.createDataFrame(same, "vec_id long, embedding array<float>").repartition(3)).collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"]))
+    assert len(got) == 1000
+    assert all([n for _, n in sorted(got[i])] == [n for n in range(11) if n != i][:10] for i in got)
+
+
+def test_neighbours_beside_a_repeated_id(spark):
+    rows_ = [(0, [0.0, 0.0])] + [(1, [0.001 * n, 0.0]) for n in range(50)] + [(n, [0.0, float(n)]) for n in range(2, 14)]
+    got = sorted((r["rank"], r["neighbour_id"]) for r in neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<float>"), width=500.0).where("vec_id = 0").collect())
+    assert [n for _, n in got] == list(range(1, 11))
+
+
 def test_neighbours_odd_rows(spark):
     rows_ = [(1, [0.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (2, [0.0, 3.0], "x"), (3, None, "x"), (4, [1.0], "x"), (5, [float("nan"), 1.0], "x"), (None, [0.0, 0.0], "x"), (6, [None, 0.0], "x"), (7, [0.0, 1.0], "x")]
     df = spark.createDataFrame(rows_, "vec_id long, embedding array<float>, part string")
