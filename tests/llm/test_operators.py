@@ -183,6 +183,14 @@ def test_sentencepiece_equals_library(docs, empty):
     assert sentencepieces.encoded(empty).count() == 0
 
 
+def test_sentencepiece_equals_library_on_every_text(docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL_PATH)
+    got = sorted((r["doc_id"] or -1, r["ids"]) for r in sentencepieces.encoded(docs).collect() if r["ids"] is not None)
+    assert got == sorted((r[0] or -1, model.encode(r[1])) for r in rows() if r[1] is not None)
+
+
 def test_neighbours_recall(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     ids, v = zip(*[(r["vec_id"], r["embedding"]) for r in df.collect()])
