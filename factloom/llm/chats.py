@@ -32,10 +32,12 @@ DELTA = 64
 def event_log(conversations: DataFrame, delta: int = DELTA) -> DataFrame:
     """The log that yields (conv_id, turn, role, text) messages: streamed in deltas; every third user message first sent as a draft and then edited, every other assistant message regenerated after a draft.
 
-    Rows without conv_id or turn are ignored, of rows with the same ones the smallest by role and text counts.
+    Rows without conv_id or turn are ignored; rows with the same ones are messages of their own, ordered by role and text.
     """
-    rows = conversations.where("conv_id is not null and turn is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
-    rows = rows.agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", F.col("m.role").alias("role"), F.coalesce("m.text", F.lit("")).alias("text"))
+    rows = conversations.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    before = Window.partitionBy("conv_id", "turn").orderBy("role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    most = F.floor(F.length("text") / delta) + 4  # events of a message
+    rows = rows.withColumn("first", F.col("turn") * (1 << 24) + F.coalesce(F.sum(most).over(before), F.lit(0)))
 
     def event(kind: str, payload: F.Column) -> F.Column:
         return F.struct(F.lit(kind).alias("kind"), payload.cast("string").alias("payload"))
@@ -45,8 +47,8 @@ def event_log(conversations: DataFrame, delta: int = DELTA) -> DataFrame:
     edited = (F.col("role") == "user") & (F.col("turn") % 3 == 0)
     again = (F.col("role") == "assistant") & (F.col("turn") % 2 == 1)
     body = F.when(edited, F.array(draft, event("edit", F.col("text")))).when(again, F.concat(F.array(draft, event("regenerate", F.lit(None))), deltas)).otherwise(deltas)
-    events = rows.select("conv_id", "turn", "role", F.posexplode(F.concat(F.array(event("open", F.lit(None))), body)).alias("i", "e"))
-    return events.select("conv_id", (F.col("turn") * (1 << 24) + F.col("i")).alias("seq"), "e.kind", F.col("turn").alias("message"), F.when(F.col("e.kind") == "open", F.col("role")).alias("role"), "e.payload")
+    events = rows.select("conv_id", "first", "role", F.posexplode(F.concat(F.array(event("open", F.lit(None))), body)).alias("i", "e"))
+    return events.select("conv_id", (F.col("first") + F.col("i")).alias("seq"), "e.kind", F.col("first").alias("message"), F.when(F.col("e.kind") == "open", F.col("role")).alias("role"), "e.payload")
 
 
 def messages(events: DataFrame) -> DataFrame:

@@ -139,6 +139,13 @@ def test_chats(spark):
     assert chats.render(df.limit(0)).count() == 0
 
 
+def test_chats_with_tied_turns(spark):
+    rows_ = [(1, 1, "user", "one " * 40), (1, 1, "assistant", "two " * 40), (1, 2, "user", "three"), (1, 2, "user", "three"), (1, 3, "user", "x"), (1, 3, "user", None)]
+    got = chats.render(chats.event_log(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string"))).first()
+    due = [("assistant", "two " * 40), ("user", "one " * 40), ("user", "three"), ("user", "three"), ("user", ""), ("user", "x")]
+    assert (got["n_messages"], got["rendered"]) == (6, "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in due))
+
+
 def test_toxicity_held_out(spark, docs, empty):
     rng = random.Random(3)
     texts = [(i, phrase(rng, 30) + (" vilewurst " + phrase(rng, 5) if i % 4 == 0 else ""), i % 4 == 0) for i in range(400)]
