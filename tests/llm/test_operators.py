@@ -198,42 +198,77 @@ def test_sentencepiece_equals_library_on_every_text(docs):
     assert got == sorted((r[0] or -1, model.encode(r[1])) for r in rows() if r[1] is not None)
 
 
-def test_neighbours_recall(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    ids, v = zip(*[(r["vec_id"], r["embedding"]) for r in df.collect()])
-    ids, v = np.array(ids), np.array(v, np.float64)
-    d = ((v[:, None] - v[None]) ** 2).sum(axis=2)
-    np.fill_diagonal(d, np.inf)
-    due = {i: set(ids[np.argsort(row, kind="stable")[:10]]) for i, row in zip(ids, d)}
+def nearest_of(ids: np.ndarray, v: np.ndarray, asked: np.ndarray, k: int = 10) -> dict:
+    """Brute force: of each asked place (distance, id) of the k nearest, equals by id."""
+    out = {}
+    for q in asked:
+        d = np.sqrt(((v.astype(np.float64) - v[q].astype(np.float64)) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
+        out[int(ids[q])] = [(float(d[i]), int(ids[i])) for i in order]
+    return out
+
+
+@pytest.mark.parametrize(("folder", "every"), [("sf0.001", 1), ("sf0.1", 20), ("check_s", 20)])
+def test_neighbours_recall(spark, folder, every):
+    import pathlib
+
+    if not pathlib.Path(f"/root/testdata/{folder}/embeddings.parquet").exists():
+        pytest.skip("the driver's tables aren't here")
+    df = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    table = df.select("vec_id", "embedding").toArrow()
+    ids, v = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), np.float32)
+    due = nearest_of(ids, v, np.flatnonzero(ids % every == 0))
     got: dict = {}
-    for r in neighbours.nearest(df).collect():
-        got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
-    assert np.mean([len(due[i] & got.get(i, set())) / 10 for i in due]) >= 0.9
+    for r in neighbours.nearest(df, every=every).collect():
+        got.setdefault(r["vec_id"], []).append((r["distance"], r["neighbour_id"], r["rank"]))
+    assert set(got) == set(due) and all(len(x) == 10 for x in got.values())
+    for i, x in got.items():
+        x.sort(key=lambda y: y[2])
+        assert [y[2] for y in x] == list(range(1, 11)) and [y[:2] for y in x] == sorted(y[:2] for y in x)
+    exact = [d for i in due for d in due[i]]
+    by_id = {(i, n): d for i in due for d, n in due[i]}
+    assert all(abs(by_id[i, n] - d) < 1e-9 for i, x in got.items() for d, n, _ in x if (i, n) in by_id)
+    assert sum((i, n) in by_id for i, x in got.items() for _, n, _ in x) >= 0.9 * len(exact)
 
 
 def test_neighbours_among_copies(spark):
     rng = np.random.default_rng(7)
     one = rng.normal(size=8).astype(np.float32)
-    same = [(int(i), one.tolist()) for i in rng.permutation(1000)]
+    rows_ = [(int(i), one.tolist()) for i in rng.permutation(1000)] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(500)]
     got: dict = {}
-    for r in neighbours.nearest(spark.createDataFrame(same, "vec_id long, embedding array<float>").repartition(3)).collect():
+    for r in neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<float>").repartition(3), every=1).collect():
         got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"]))
-    assert len(got) == 1000
-    assert all([n for _, n in sorted(got[i])] == [n for n in range(11) if n != i][:10] for i in got)
+    assert len(got) == 1500
+    assert all([n for _, n in sorted(got[i])] == [n for n in range(11) if n != i][:10] for i in range(1000))
+
+
+def test_neighbours_are_exact_in_what_is_visited(spark):
+    """Where all buckets are visited the result is that of brute force, hot buckets and close rows included."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=6)
+    v = np.concatenate([base + 1e-4 * rng.normal(size=(400, 6)), rng.normal(size=(300, 6)), np.repeat(rng.normal(size=(5, 6)), 20, axis=0)]).astype(np.float32)
+    ids = rng.permutation(len(v)) * 3
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>").repartition(3)
+    due = nearest_of(ids, v, np.flatnonzero(ids % 5 == 0))
+    got: dict = {}
+    for r in neighbours.nearest(df, every=5, hashes=3, probes=1000, tables=1).collect():
+        got.setdefault(r["vec_id"], []).append((r["distance"], r["neighbour_id"]))
+    assert {i: [n for _, n in sorted(x)] for i, x in got.items()} == {i: [n for _, n in x] for i, x in due.items()}
 
 
 def test_neighbours_beside_a_repeated_id(spark):
     rows_ = [(0, [0.0, 0.0])] + [(1, [0.001 * n, 0.0]) for n in range(50)] + [(n, [0.0, float(n)]) for n in range(2, 14)]
-    got = sorted((r["rank"], r["neighbour_id"]) for r in neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<float>"), width=500.0).where("vec_id = 0").collect())
+    got = sorted((r["rank"], r["neighbour_id"]) for r in neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<float>"), probes=1000).where("vec_id = 0").collect())
     assert [n for _, n in got] == list(range(1, 11))
 
 
 def test_neighbours_odd_rows(spark):
     rows_ = [(1, [0.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (2, [0.0, 3.0], "x"), (3, None, "x"), (4, [1.0], "x"), (5, [float("nan"), 1.0], "x"), (None, [0.0, 0.0], "x"), (6, [None, 0.0], "x"), (7, [0.0, 1.0], "x")]
     df = spark.createDataFrame(rows_, "vec_id long, embedding array<float>, part string")
-    got = sorted(tuple(r) for r in neighbours.nearest(df, width=50.0).collect())
+    got = sorted(tuple(r) for r in neighbours.nearest(df, every=1, probes=1000).collect())
     assert got == [(1, 1, 2, 1.0), (1, 2, 7, 1.0), (2, 1, 7, 0.0), (2, 2, 1, 1.0), (7, 1, 2, 0.0), (7, 2, 1, 1.0)]
     assert neighbours.nearest(df.limit(0)).count() == 0
+    assert neighbours.nearest(df.where("vec_id = 7"), every=1).count() == 0
 
 
 def test_near_duplicates(docs, empty):
