@@ -16,18 +16,19 @@ of processing nor on the partitions.
 3. Per token, records meet: equal sets collapse to their first place; others
    become candidates if they pass the length, prefix, positional and parity
    filters, all of which are exact.
-4. Candidates are verified on their tokens, the earliest partner of each line
-   first, the rest only for lines that it doesn't decide.
+4. A pass gathers the first places and the tokens of the sets that are candidates.
+   These are verified on their tokens, the earliest partner of each line first,
+   the rest only for lines that it doesn't decide.
 
 Tokens and sets are told apart by 64-bit hashes.
 
 Defined results: null texts and lines without tokens are never removed. Every
 row has its own places: rows without id, and rows that share an id, are told
 apart by a hash of their text. Only rows equal in id and text are one place, so
-they don't remove each other's lines; of equal rows without id all but one are
-copies of it. Null ids come last and come out as null. Very long lines are
-lines like any other. Other columns are ignored by ``repeated_lines`` and kept
-unchanged by ``strip_lines``, but for n_chars.
+they don't remove each other's lines; of equal rows without id all but one, whose
+hash is smallest, are copies of it. Null ids come last and come out as null. Very
+long lines are lines like any other. Other columns are ignored by
+``repeated_lines`` and kept unchanged by ``strip_lines``, but for n_chars.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ NO_ID = np.iinfo(np.int64).max
 PREFIX = np.dtype([("token", "<u4"), ("set", "<u8"), ("n", "<u4"), ("i", "<u4"), ("odd", "<u8", 2)])
 PLACE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("row", "<i8")])
 FOUND = "kind int, a long, b long, line int, row long"
-DUPLICATE, FIRST, CANDIDATE = 0, 1, 2
+DUPLICATE, CANDIDATE = 0, 1
 
 
 def ceil_of(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -257,7 +258,6 @@ def meet(num: int, den: int):
             lead = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
             later = different(places, lead)
             yield from rows(DUPLICATE, places["doc"][later], places["doc"][later], places["line"][later], places["row"][later])
-            yield from rows(FIRST, places["set"][new].view(np.int64), places["doc"][new], places["line"][new], places["row"][new])
             del places, lead
         for places in data[2]:
             yield from rows(DUPLICATE, places["doc"], places["doc"], places["line"], places["row"])
@@ -290,24 +290,28 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def tokens_of(documents: DataFrame, places: DataFrame) -> DataFrame:
-    """(set, tokens): the tokens of the sets whose first places are given, from a pass over those documents."""
-    some_docs, some_sets = bitmap(places, "doc"), bitmap(places, "set")
+def firsts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set, place, tokens) of the wanted sets: their first places and sorted tokens, from a pass that a filter of fixed size thins out before the join."""
+    some = bitmap(wanted, "set")
     low = (1 << FILTER_BITS) - 1
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(some_docs[ids_of(batch) & low]))
             for chunk in K.chunks(batch):
                 lines = Lines(chunk.column("text"), None)
-                order = np.flatnonzero(some_sets[(lines.set & np.uint64(low)).astype(np.int64)])
-                names, one = np.unique(lines.set[order], return_index=True)
-                blobs = [np.sort(lines.h[lines.first[i] : lines.first[i + 1]]).tobytes() for i in order[one]]
-                if blobs:
-                    yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(blobs, pa.binary())], ["set", "tokens"])
+                doc, row = ids_of(chunk)[lines.doc], chunk.column("row").to_numpy()[lines.doc]
+                own = np.flatnonzero(some[(lines.set & np.uint64(low)).astype(np.int64)])
+                own = own[np.lexsort((row[own], lines.line[own], doc[own], lines.set[own]))]
+                new = np.ones(len(own), bool)
+                new[1:] = lines.set[own[1:]] != lines.set[own[:-1]]
+                own = own[new]
+                if len(own):
+                    blobs = [np.sort(lines.h[lines.first[i] : lines.first[i + 1]]).tobytes() for i in own]
+                    yield pa.record_batch([pa.array(lines.set[own].view(np.int64)), pa.array(doc[own]), pa.array(lines.line[own]), pa.array(row[own]), pa.array(blobs, pa.binary())], ["set", "doc", "line", "row", "tokens"])
 
-    found = documents.mapInArrow(run, "set long, tokens binary")
-    return found.join(places.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    found = documents.mapInArrow(run, "set long, doc long, line int, row long, tokens binary")
+    own = found.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("doc", "line", "row", "tokens")).alias("f"))
+    return own.select("set", F.struct("f.doc", "f.line", "f.row", "set").alias("place"), F.col("f.tokens").alias("tokens"))
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -343,22 +347,19 @@ def repeated_places(documents: DataFrame, key: Column, threshold: tuple[int, int
     packed_ = docs.mapInArrow(sketch(parts, rarity(docs), num, den), "part int, kind int, data binary")
     found = cut(packed_.repartitionById(parts, F.col("part")).select("kind", "data").mapInArrow(meet(num, den), FOUND))
 
-    firsts = found.where(F.col("kind") == FIRST).select(F.col("a").alias("set"), F.col("b").alias("doc"), "line", "row")
     pairs = found.where(F.col("kind") == CANDIDATE).select("a", "b").distinct()
-    place = F.struct("doc", "line", "row", "set").alias("place")
-    sides = pairs
+    firsts = cut(firsts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()))
+    sides, tokens = pairs, firsts.select("set", "tokens")
     for side in ("a", "b"):
-        sides = sides.join(firsts.select(F.col("set").alias(side), place.alias(f"{side}_place")), side)
+        sides = sides.join(firsts.select(F.col("set").alias(side), F.col("place").alias(f"{side}_place")), side)
     oriented = cut(sides.select(F.least("a_place", "b_place").alias("e"), F.greatest("a_place", "b_place").alias("l")))
-    places = oriented.select("e.*").union(oriented.select("l.*")).distinct()
-    tokens = cut(tokens_of(docs, places))
 
     pairs = oriented.select(F.col("e.set").alias("early"), F.col("l.set").alias("late"), "e")
     nearest = pairs.groupBy("late").agg(F.min_by("early", "e").alias("early"))
     sure = cut(verified(nearest, tokens, num, den))
     open_ = pairs.join(nearest, ["early", "late"], "left_anti").join(sure.select("late"), "late", "left_anti")
     removed = sure.select("late").union(verified(open_, tokens, num, den).select("late")).distinct()
-    near = firsts.join(removed, firsts["set"] == removed["late"], "left_semi").select("doc", "line", "row")
+    near = firsts.join(removed, firsts["set"] == removed["late"], "left_semi").select("place.doc", "place.line", "place.row")
     same = found.where(F.col("kind") == DUPLICATE).select(F.col("a").alias("doc"), "line", "row")
     return same.union(near).distinct().select(F.when(F.col("doc") != int(NO_ID), F.col("doc")).alias("doc_id"), "row", F.col("line").alias("line_no"))
 
@@ -379,20 +380,29 @@ def strip_lines(documents: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     A document all of whose lines with tokens are removed says nothing new and is
     dropped; one that had none is kept as it is. n_chars, if there, follows the text.
     """
-    if not documents.where("doc_id is null").isEmpty():
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = documents.select(whole.alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not rows.where("doc_id is null").isEmpty():
         named = F.col("doc_id").isNotNull() | F.col("text").isNull() | ~F.lower("text").rlike(TOKEN)
-        documents = documents.where(named).union(documents.where(~named).dropDuplicates(["text"]))
-    key = row_key(documents)
-    removed = repeated_places(documents, key, threshold).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("__lines"))
-    removed = removed.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "__lines")
-    keyed = documents.withColumn("__key", key)
-    joined = keyed.join(removed, keyed["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__row")), "left")
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(__lines, i)), '\n')")
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)
-    joined = joined.withColumn("__kept", text)
-    some = F.col("__lines").isNull() | F.lower("__kept").rlike(TOKEN)
-    columns = [F.col("__kept").alias(c) if c == "text" else F.when(F.col("__lines").isNull(), keyed[c]).otherwise(F.length("__kept")).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else keyed[c] for c in documents.columns]
-    return joined.where(some).select(columns)
+        first = F.min_by("r", F.xxhash64(F.to_json("r"))).alias("r")
+        rows = rows.where(named).unionByName(rows.where(~named).groupBy("text").agg(first).select("r", F.lit(None).cast("long").alias("doc_id"), "text"))
+    key = row_key(rows)
+    removed = repeated_places(rows, key, threshold).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
+    removed = removed.select(F.col("doc_id").alias("doc"), F.col("row"), "gone")
+    joined = rows.withColumn("key", key).join(removed, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("row")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n")
+    joined = joined.select("r", "gone", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"))
+
+    def column(c: str) -> Column:
+        was = F.col("r").getField(c)
+        if c == "text":
+            return F.when(F.col("gone").isNull(), was).otherwise(F.col("kept").cast(documents.schema[c].dataType)).alias(c)
+        if c == "n_chars":
+            return F.when(F.col("gone").isNull(), was).otherwise(F.length("kept").cast(documents.schema[c].dataType)).alias(c)
+        return was.alias(c)
+
+    return joined.where(F.col("gone").isNull() | F.lower("kept").rlike(TOKEN)).select(*map(column, documents.columns))
 
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(line), '[^0-9a-z\\x{80}-\\x{10FFFF}]+'), lambda x: x <> ''))"
