@@ -10,9 +10,10 @@ of processing nor on the partitions.
    by rarity, of fixed size. (Any total order keeps the prefix filter exact;
    rarity only makes it sharp.)
 2. A pass gives each line's set hash, place and, of its first n - ceil(tn) + 1
-   tokens in that order, a record with size, position and 128 parities of the
-   set. Records are packed, routed by token and never hold the text. Of equal
-   sets, a task passes on one record, so a line that's everywhere isn't a hot key.
+   tokens in that order, a record with size, position and parities of the set, the
+   more of them the larger it is. Records are packed, routed by token and never
+   hold the text. Of equal sets, a task passes on one record, so a line
+   that's everywhere isn't a hot key.
 3. Per token, records meet: equal sets collapse to their first place; others
    become candidates if they pass the length, prefix, positional and parity
    filters, all of which are exact.
@@ -51,10 +52,14 @@ FLUSH_BYTES = 24 << 20
 
 TOKEN = "[0-9a-z\\x{80}-\\x{10FFFF}]"
 NO_ID = np.iinfo(np.int64).max
-PREFIX = np.dtype([("token", "<u4"), ("set", "<u8"), ("n", "<u4"), ("i", "<u4"), ("odd", "<u8", 2)])
+#: Lines of at most so many tokens have records with so many words of 64 parities; more tokens would fill fewer parities up.
+PARITIES = ((40, 1), (128, 2), (np.iinfo(np.int64).max, 8))
+PREFIX = tuple(np.dtype([("token", "<u4"), ("set", "<u8"), ("n", "u1" if most < 256 else "<u4"), ("i", "u1" if most < 256 else "<u4"), ("odd", "<u8", words)]) for most, words in PARITIES)
 PLACE = np.dtype([("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("row", "<i8")])
 FOUND = "kind int, a long, b long, line int, row long"
 DUPLICATE, CANDIDATE = 0, 1
+#: Kinds of packed records: places by set, repeated places, then prefix tokens by the lines' size.
+KINDS = (PLACE, PLACE, *PREFIX)
 
 
 def ceil_of(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -143,7 +148,20 @@ def packed(records: np.ndarray, part: np.ndarray, kind: int):
         yield int(where), kind, own.tobytes()
 
 
-def distinct(records: np.ndarray, order: np.ndarray) -> np.ndarray:
+def squeezed(records: np.ndarray, part: np.ndarray, kind: int):
+    """As packed, with the records' bytes in planes and compressed: sorted tokens and small numbers then take little."""
+    for where, _, data in packed(records, part, kind):
+        planes = np.frombuffer(data, np.uint8).reshape(-1, records.dtype.itemsize).T
+        yield where, kind, len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def expanded(blob: pa.Buffer, dtype: np.dtype) -> np.ndarray:
+    size = int.from_bytes(blob[:8].to_pybytes(), "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], size), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def distinct(records, order: np.ndarray) -> np.ndarray:
     """The order without records whose token and set are as before."""
     token, name = records["token"][order], records["set"][order]
     new = np.ones(len(order), bool)
@@ -166,12 +184,14 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
             new = np.ones(len(all_), bool)
             new[1:] = all_["set"][1:] != all_["set"][:-1]
             later = all_[~new & different(all_, all_[np.flatnonzero(new)[np.cumsum(new) - 1]])]
-            rows += packed(all_[new], (all_["set"][new] % np.uint64(parts)).astype(np.int64), 0)
-            rows += packed(later, (K.mix(later["doc"].view(np.uint64)) % np.uint64(parts)).astype(np.int64), 2)
-        if prefixes:
-            all_ = np.concatenate(prefixes)
-            all_ = all_[distinct(all_, np.lexsort((all_["set"], all_["token"])))]
-            rows += packed(all_, (all_["token"] % np.uint32(parts)).astype(np.int64), 1)
+            rows += squeezed(all_[new], (all_["set"][new] % np.uint64(parts)).astype(np.int64), 0)
+            rows += squeezed(later, (K.mix(later["doc"].view(np.uint64)) % np.uint64(parts)).astype(np.int64), 1)
+        for kind, dtype in enumerate(PREFIX, 2):
+            own = [x for x in prefixes if x.dtype == dtype]
+            if own:
+                all_ = np.concatenate(own)
+                all_ = all_[distinct(all_, np.lexsort((all_["set"], all_["token"])))]
+                rows += squeezed(all_, (all_["token"] % np.uint32(parts)).astype(np.int64), kind)
         places.clear(), prefixes.clear()
         for part, kind, data in rows:
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["part", "kind", "data"])
@@ -190,16 +210,18 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
                 at = lines.first[:-1]
                 keep = lines.n - ceil_of(lines.n, num, den) + 1
                 keep[(ceil_of(lines.n, num, den) >= lines.n) & (lines.n * den // num <= lines.n)] = 0  # so small that only equal sets match
-                if keep.any():
-                    one = np.uint64(1) << (lines.h & np.uint64(63))
-                    high = (lines.h & np.uint64(64)) > 0
-                    odd = np.stack([np.bitwise_xor.reduceat(np.where(high == side, one, np.uint64(0)), at) for side in (False, True)], axis=1)
-                    which = np.repeat(np.arange(len(at)), keep)
-                    token = K.ragged(at, keep)
-                    prefix = np.empty(len(token), PREFIX)
+                for (_, words), dtype, of in zip(PARITIES, PREFIX, np.split(np.argsort(lines.n, kind="stable"), np.searchsorted(np.sort(lines.n), [m for m, _ in PARITIES[:-1]], side="right"))):
+                    of = of[keep[of] > 0]
+                    if not len(of):
+                        continue
+                    odd = parities(lines, of, words)
+                    which = np.repeat(np.arange(len(of)), keep[of])
+                    token = K.ragged(at[of], keep[of])
+                    line = of[which]
+                    prefix = np.empty(len(token), dtype)
                     prefix["token"] = (lines.h[token] >> np.uint64(8)).astype(np.uint32)
-                    prefix["set"], prefix["n"], prefix["odd"] = lines.set[which], lines.n[which], odd[which]
-                    prefix["i"] = token - at[which]
+                    prefix["set"], prefix["n"], prefix["i"] = lines.set[line], lines.n[line], token - at[line]
+                    prefix["odd"] = odd[which]
                     prefixes.append(prefix)
                     size += prefix.nbytes
                 size += place.nbytes
@@ -211,17 +233,39 @@ def sketch(parts: int, rank: np.ndarray, num: int, den: int):
     return run
 
 
-def candidates(records: np.ndarray, num: int, den: int):
-    """Pairs of sets that share a prefix token and pass all filters."""
-    records = records[distinct(records, np.lexsort((records["set"], records["n"], records["token"])))]
-    token, size, at, odd, name = (np.ascontiguousarray(records[c]) for c in ("token", "n", "i", "odd", "set"))
-    size, at = size.astype(np.int64), at.astype(np.int64)
+def parities(lines: Lines, of: np.ndarray, words: int) -> np.ndarray:
+    """For each of the lines, of so many times 64 bits, whether an odd number of its tokens have that bit."""
+    h = lines.h[K.ragged(lines.first[of], lines.n[of])]
+    at = np.cumsum(lines.n[of]) - lines.n[of]
+    one = np.uint64(1) << (h & np.uint64(63))
+    word = (h >> np.uint64(6)) & np.uint64(words - 1)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(w), one, np.uint64(0)), at) for w in range(words)], axis=1)
+
+
+def folded(odd: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer bits, from those of more."""
+    odd = odd.reshape(len(odd), -1, words)
+    return np.bitwise_xor.reduce(odd, axis=1)
+
+
+def candidates(kinds: list[np.ndarray], num: int, den: int):
+    """Pairs of sets that share a prefix token and pass all filters. kinds: records by the lines' size."""
+    columns = {c: np.concatenate([k[c].astype(t) for k in kinds]) for c, t in (("token", np.uint32), ("set", np.uint64), ("n", np.int64), ("i", np.int64))}
+    order = distinct(columns, np.lexsort((columns["set"], columns["n"], columns["token"])))
+    token, size, at, name = (columns[c][order] for c in ("token", "n", "i", "set"))
+    odd = [k["odd"].reshape(len(k), words) for k, (_, words) in zip(kinds, PARITIES)]
+    levels = []  # of each number of words: where the records that have them begin, and their parities
+    begin = 0
+    for level, (_, words) in enumerate(PARITIES):
+        levels.append((begin, np.concatenate([folded(x, words) for x in odd[level:]])))
+        begin += len(odd[level])
+    del odd, columns
     short = at <= size - ceil_of(size, 2 * num, num + den)  # prefix of the smaller side
-    live = np.arange(len(records))
+    live = np.arange(len(order))
     step = 0
     while len(live):
         step += 1
-        live = live[live + step < len(records)]
+        live = live[live + step < len(order)]
         j = live + step
         live = live[(token[live] == token[j]) & (size[live] * den >= size[j] * num)]  # sizes ascend within a token
         i = live[short[live]]
@@ -230,8 +274,14 @@ def candidates(records: np.ndarray, num: int, den: int):
         ok = np.minimum(at[i], at[j]) + 1 + np.minimum(size[i] - at[i], size[j] - at[j]) - 1 >= need
         i, j, need = i[ok], j[ok], need[ok]
         # a token that only one side has flips a parity: there are as many such tokens at least
-        ok = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
-        i, j = i[ok], j[ok]
+        most = size[i] + size[j] - 2 * need
+        for begin, odd in levels:
+            a, b = order[i] - begin, order[j] - begin
+            both = np.flatnonzero((a >= 0) & (b >= 0))
+            far = np.bitwise_count(odd[a[both]] ^ odd[b[both]]).sum(axis=1, dtype=np.int64) > most[both]
+            ok = np.ones(len(i), bool)
+            ok[both[far]] = False
+            i, j, most = i[ok], j[ok], most[ok]
         if len(i):
             yield np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
 
@@ -246,10 +296,10 @@ def meet(num: int, den: int):
             yield pa.record_batch([pa.array(np.full(len(a[own]), kind, np.int32)), pa.array(a[own].astype(np.int64)), pa.array(b[own].astype(np.int64)), pa.array(np.zeros(len(a[own]), np.int32) if line is None else line[own]), pa.array(np.zeros(len(a[own]), np.int64) if row is None else row[own])], ["kind", "a", "b", "line", "row"])
 
     def run(batches):
-        data: tuple[list, list, list] = ([], [], [])
+        data: tuple[list, ...] = tuple([] for _ in KINDS)
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("data")):
-                data[kind].append(np.frombuffer(blob.as_buffer(), (PLACE, PREFIX, PLACE)[kind]).copy())
+                data[kind].append(expanded(blob.as_buffer(), KINDS[kind]))
         if data[0]:
             places = np.concatenate(data[0])
             places = places[np.lexsort((places["row"], places["line"], places["doc"], places["set"]))]
@@ -259,14 +309,15 @@ def meet(num: int, den: int):
             later = different(places, lead)
             yield from rows(DUPLICATE, places["doc"][later], places["doc"][later], places["line"][later], places["row"][later])
             del places, lead
-        for places in data[2]:
+        for places in data[1]:
             yield from rows(DUPLICATE, places["doc"], places["doc"], places["line"], places["row"])
-        if data[1]:
-            records = np.concatenate(data[1])
-            data[1].clear()
+        if any(data[2:]):
+            kinds = [np.concatenate([*own, np.zeros(0, dtype)]) for own, dtype in zip(data[2:], PREFIX)]
+            for own in data:
+                own.clear()
             held: list = []
             size = 0
-            for a, b in candidates(records, num, den):
+            for a, b in candidates(kinds, num, den):
                 held.append(np.stack([a, b]))
                 size += len(a)
                 if size > 1 << 20:
