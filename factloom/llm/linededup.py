@@ -244,7 +244,7 @@ def parities(lines: Lines, of: np.ndarray, words: int) -> np.ndarray:
 
 def folded(odd: np.ndarray, words: int) -> np.ndarray:
     """Parities of fewer bits, from those of more."""
-    odd = odd.reshape(len(odd), -1, words)
+    odd = odd.reshape(len(odd), odd.shape[1] // words, words)
     return np.bitwise_xor.reduce(odd, axis=1)
 
 
@@ -286,14 +286,24 @@ def candidates(kinds: list[np.ndarray], num: int, den: int):
             yield np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
 
 
-def meet(num: int, den: int):
-    """The third pass, per partition of tokens and sets."""
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, line: np.ndarray | None = None, row: np.ndarray | None = None):
-        n = len(a)
-        for k in range(0, n, 1 << 18):
-            own = slice(k, k + (1 << 18))
-            yield pa.record_batch([pa.array(np.full(len(a[own]), kind, np.int32)), pa.array(a[own].astype(np.int64)), pa.array(b[own].astype(np.int64)), pa.array(np.zeros(len(a[own]), np.int32) if line is None else line[own]), pa.array(np.zeros(len(a[own]), np.int64) if row is None else row[own])], ["kind", "a", "b", "line", "row"])
+
+def meet(parts: int, num: int, den: int):
+    """The third pass, per partition of tokens and sets: packed places of repeated lines, and packed candidate pairs, which are routed by the pair."""
+
+    def pairs(found: list):
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        out = np.empty(both.shape[1], PAIR)
+        out["a"], out["b"] = both
+        return packed(out, (K.mix(out["a"] ^ K.mix(out["b"])) % np.uint64(parts)).astype(np.int64), CANDIDATE)
+
+    def repeated(places: np.ndarray):
+        return packed(places, (K.mix(places["doc"].view(np.uint64)) % np.uint64(parts)).astype(np.int64), DUPLICATE)
+
+    def sent(rows):
+        for part, kind, data in rows:
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["part", "kind", "data"])
 
     def run(batches):
         data: tuple[list, ...] = tuple([] for _ in KINDS)
@@ -306,11 +316,10 @@ def meet(num: int, den: int):
             new = np.ones(len(places), bool)
             new[1:] = places["set"][1:] != places["set"][:-1]
             lead = places[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = different(places, lead)
-            yield from rows(DUPLICATE, places["doc"][later], places["doc"][later], places["line"][later], places["row"][later])
+            yield from sent(repeated(places[different(places, lead)]))
             del places, lead
         for places in data[1]:
-            yield from rows(DUPLICATE, places["doc"], places["doc"], places["line"], places["row"])
+            yield from sent(repeated(places))
         if any(data[2:]):
             kinds = [np.concatenate([*own, np.zeros(0, dtype)]) for own, dtype in zip(data[2:], PREFIX)]
             for own in data:
@@ -324,15 +333,38 @@ def meet(num: int, den: int):
                     held = [np.unique(np.concatenate(held, axis=1), axis=1)]
                     size = 0
                     if held[0].shape[1] > 1 << 20:
-                        yield from rows(CANDIDATE, held[0][0].view(np.int64), held[0][1].view(np.int64))
+                        yield from sent(pairs(held))
                         held = []
             if held:
-                a, b = np.unique(np.concatenate(held, axis=1), axis=1)
-                yield from rows(CANDIDATE, a.view(np.int64), b.view(np.int64))
+                yield from sent(pairs(held))
 
     return run
 
 
+def unite(batches):
+    """(kind, a, b, line, row): each place of a repeated line, and each pair, once."""
+    own: tuple[list, list] = ([], [])
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("data")):
+            own[kind].append(np.frombuffer(blob.as_buffer(), (PLACE, PAIR)[kind]).copy())
+    for kind, lists in enumerate(own):
+        if not lists:
+            continue
+        all_ = np.concatenate(lists)
+        names = ("doc", "line", "row") if kind == DUPLICATE else ("a", "b")
+        all_ = all_[np.lexsort([all_[c] for c in names])]
+        new = np.zeros(len(all_), bool)
+        new[:1] = True
+        for c in names:
+            new[1:] |= all_[c][1:] != all_[c][:-1]
+        all_ = all_[new]
+        for k in range(0, len(all_), 1 << 17):
+            x = all_[k : k + (1 << 17)]
+            none = np.zeros(len(x), np.int64)
+            columns = [x["doc"], none, x["line"], x["row"]] if kind == DUPLICATE else [x["a"].view(np.int64), x["b"].view(np.int64), none.astype(np.int32), none]
+            yield pa.record_batch([pa.array(np.full(len(x), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["kind", "a", "b", "line", "row"])
+
+
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     """Which of 2**FILTER_BITS slots the column's values fall into: of fixed size."""
     slots = ids.select((F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)).cast("int").alias("slot")).distinct().toArrow()
@@ -362,7 +394,7 @@ def firsts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     found = documents.mapInArrow(run, "set long, doc long, line int, row long, tokens binary")
     own = found.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("doc", "line", "row", "tokens")).alias("f"))
-    return own.select("set", F.struct("f.doc", "f.line", "f.row", "set").alias("place"), F.col("f.tokens").alias("tokens"))
+    return own.select("set", F.struct("f.doc", "f.line", "f.row").alias("place"), F.col("f.tokens").alias("tokens"))
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
@@ -378,7 +410,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
                 ok[k] = shared * den >= num * (len(both) - shared)
             yield batch.select(["early", "late"]).filter(pa.array(ok))
 
-    x, y = (tokens.select(F.col("set").alias(a), F.col("tokens").alias(b)) for a, b in (("early", "x"), ("late", "y")))
+    x, y = (tokens.select(F.col("at").alias(a), F.col("tokens").alias(b)) for a, b in (("early", "x"), ("late", "y")))
     return pairs.select("early", "late").join(x, "early").join(y, "late").select("early", "late", "x", "y").mapInArrow(run, "early long, late long")
 
 
@@ -396,21 +428,23 @@ def repeated_places(documents: DataFrame, key: Column, threshold: tuple[int, int
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row")).where("text is not null")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     packed_ = docs.mapInArrow(sketch(parts, rarity(docs), num, den), "part int, kind int, data binary")
-    found = cut(packed_.repartitionById(parts, F.col("part")).select("kind", "data").mapInArrow(meet(num, den), FOUND))
+    met = packed_.repartitionById(parts, F.col("part")).select("kind", "data").mapInArrow(meet(parts, num, den), "part int, kind int, data binary")
+    found = cut(met.repartitionById(parts, F.col("part")).select("kind", "data").mapInArrow(unite, FOUND))
 
-    pairs = found.where(F.col("kind") == CANDIDATE).select("a", "b").distinct()
-    firsts = cut(firsts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()))
-    sides, tokens = pairs, firsts.select("set", "tokens")
+    pairs = found.where(F.col("kind") == CANDIDATE).select("a", "b")
+    firsts = firsts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
+    # numbers in the order of the places: what is joined below is narrow
+    firsts = cut(firsts.repartitionByRange("place").sortWithinPartitions("place").withColumn("at", F.monotonically_increasing_id()))
     for side in ("a", "b"):
-        sides = sides.join(firsts.select(F.col("set").alias(side), F.col("place").alias(f"{side}_place")), side)
-    oriented = cut(sides.select(F.least("a_place", "b_place").alias("e"), F.greatest("a_place", "b_place").alias("l")))
+        pairs = pairs.join(firsts.select(F.col("set").alias(side), F.col("at").alias(f"{side}_at")), side).drop(side)
+    pairs = cut(pairs.select(F.least("a_at", "b_at").alias("early"), F.greatest("a_at", "b_at").alias("late")))
+    tokens = firsts.select("at", "tokens")
 
-    pairs = oriented.select(F.col("e.set").alias("early"), F.col("l.set").alias("late"), "e")
-    nearest = pairs.groupBy("late").agg(F.min_by("early", "e").alias("early"))
+    nearest = pairs.groupBy("late").agg(F.min("early").alias("early"))
     sure = cut(verified(nearest, tokens, num, den))
     open_ = pairs.join(nearest, ["early", "late"], "left_anti").join(sure.select("late"), "late", "left_anti")
     removed = sure.select("late").union(verified(open_, tokens, num, den).select("late")).distinct()
-    near = firsts.join(removed, firsts["set"] == removed["late"], "left_semi").select("place.doc", "place.line", "place.row")
+    near = firsts.join(removed, firsts["at"] == removed["late"], "left_semi").select("place.doc", "place.line", "place.row")
     same = found.where(F.col("kind") == DUPLICATE).select(F.col("a").alias("doc"), "line", "row")
     return same.union(near).distinct().select(F.when(F.col("doc") != int(NO_ID), F.col("doc")).alias("doc_id"), "row", F.col("line").alias("line_no"))
 
