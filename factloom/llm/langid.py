@@ -127,8 +127,9 @@ def profiles(documents: DataFrame, order: int = ORDER, profile: int = PROFILE) -
 
     rows = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(count, "language string, gram long, place long, n long").groupBy("language", "gram", "place").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "place")) - 1)
-    return ranked.where(F.col("rank") < profile).select("language", "gram", "rank")
+    # the bound on the row number lets each task send on no more than a profile of a language
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "place")))
+    return ranked.where(F.col("rank") <= profile).select("language", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 def identify(documents: DataFrame, order: int = ORDER, profile: int = PROFILE) -> DataFrame:
