@@ -12,7 +12,8 @@ template of m tokens:
 * position: the first token in common, at places i and j, leaves an overlap of
   at most 1 + min(m - i - 1, n - j - 1).
 
-What is left is verified by its overlap.
+What is left is verified by its overlap. The templates' prefixes are an inverted
+index, so a template costs nothing where none of its rarest tokens occurs.
 
 A template wrapped over lines is found in a run of consecutive tokens that goes
 across line ends, if the run has as many of its distinct tokens and, without one
@@ -29,6 +30,8 @@ ids come out as null; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +52,27 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("all-rights-reserved", "All rights reserved."),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc-text",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "apache-2.0-header",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
 )
 FOUND = "doc_id long, line_no int, template string, overlap int, containment double"
 
@@ -75,36 +99,117 @@ class Blocks:
         self.number = line[one] - newlines[t.offsets[self.doc]] - self.doc
 
 
-def wrapped(pos: np.ndarray, token: np.ndarray, line: np.ndarray, doc: np.ndarray, m: int, length: int, need: int, threshold: tuple[int, int], found: set[int]) -> list[tuple[int, int, int]]:
-    """(document, line, overlap) of a template's runs across line ends; of its tokens the places of all occurrences are given, found has the lines that hold it alone."""
-    num, den = threshold
+class Index:
+    """The templates' tokens, known by their ranks, as inverted lists: (token, template, place in the template's order)."""
+
+    def __init__(self, ordered: list[np.ndarray], need: np.ndarray, tokens: int):
+        self.ordered, self.need = ordered, need
+        self.size = np.array([len(x) for x in ordered], np.int64)
+        self.tokens = tokens
+        template = np.repeat(np.arange(len(ordered)), np.where(self.size > 0, self.size - need + 1, 0))
+        place = K.ragged(np.zeros(len(ordered), np.int64), np.where(self.size > 0, self.size - need + 1, 0))
+        token = np.array([ordered[t][i] for t, i in zip(template.tolist(), place.tolist())], np.int64)
+        order = np.lexsort((template, token))
+        self.token, self.template, self.place = token[order], template[order], place[order]
+        self.first = np.searchsorted(self.token, np.arange(tokens + 1))
+        #: every template's tokens end to end, and each as one sorted number with its template
+        self.begin = np.append(0, np.cumsum(self.size))
+        self.flat = np.concatenate([*ordered, np.zeros(0, np.int64)]).astype(np.int64)
+        self.member = np.sort(np.repeat(np.arange(len(ordered)), self.size) * tokens + self.flat)
+
+    def hits(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, posting) of all entries whose token is in a template's prefix."""
+        low, count = self.first[token], self.first[token + 1] - self.first[token]
+        return np.repeat(np.arange(len(token)), count), K.ragged(low, count)
+
+    def overlaps(self, group: np.ndarray, token: np.ndarray, groups: np.ndarray, templates: np.ndarray) -> np.ndarray:
+        """How many of a template's tokens its group has. (group, token) pairs, sorted and distinct, are given."""
+        key = group * self.tokens + token
+        out = np.zeros(len(groups), np.int64)
+        for lo in range(0, len(groups), 1 << 15):
+            g, t = groups[lo : lo + (1 << 15)], templates[lo : lo + (1 << 15)]
+            wanted = np.repeat(g, self.size[t]) * self.tokens + self.flat[K.ragged(self.begin[t], self.size[t])]
+            own = np.repeat(np.arange(len(g)), self.size[t])
+            out[lo : lo + len(g)] = np.bincount(own[K.lookup(key, wanted) >= 0], minlength=len(g))
+        return out
+
+
+def alone(index: Index, block: np.ndarray, token: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, template, overlap) of the blocks that hold a template. (block, token) are distinct, in order of blocks and ranks."""
+    begins = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+    number = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(block))))
+    size = np.bincount(number, minlength=len(begins))
+    entry, posting = index.hits(token)
+    template, i = index.template[posting], index.place[posting]
+    enough = size[number[entry]] >= index.need[template]
+    entry, template, i = entry[enough], template[enough], i[enough]
+    _, one = np.unique(number[entry] * max(1, len(index.size)) + template, return_index=True)  # the first token in common
+    entry, template, i = entry[one], template[one], i[one]
+    own, j = number[entry], entry - begins[number[entry]]
+    near = 1 + np.minimum(index.size[template] - i - 1, size[own] - j - 1) >= index.need[template]
+    own, template = own[near], template[near]
+    overlap = index.overlaps(block, token, block[begins[own]], template)
+    ok = overlap * den >= num * index.size[template]
+    return block[begins[own[ok]]], template[ok], overlap[ok]
+
+
+def wrapped(index: Index, lengths: np.ndarray, pos: np.ndarray, token: np.ndarray, line: np.ndarray, doc: np.ndarray, held: set, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """(document, line, template, overlap) of the templates' runs across line ends. The places of all occurrences of templates' tokens are given; held has the (line, template) that hold one alone."""
+    out: list = []
+    if not len(pos):
+        return out
+    both = np.unique(doc * index.tokens + token)
+    own_doc, own_token = both // index.tokens, both % index.tokens
+    entry, posting = index.hits(own_token)
+    pairs = np.unique(own_doc[entry] * len(index.size) + index.template[posting])
+    docs, templates = pairs // len(index.size), pairs % len(index.size)
+    lines = np.zeros(int(doc[-1]) + 1, np.int64)
+    first = np.searchsorted(doc, np.arange(int(doc[-1]) + 2))
+    some = np.flatnonzero(np.diff(first))
+    lines[some] = line[first[some + 1] - 1] - line[first[some]]
+    several = lines[docs] > 0  # on a single line there's nothing to wrap
+    docs, templates = docs[several], templates[several]
+    enough = index.overlaps(own_doc, own_token, docs, templates) >= index.need[templates]
+    for d, t in zip(docs[enough].tolist(), templates[enough].tolist()):
+        here = slice(first[d], first[d + 1])
+        mine = index.ordered[t]
+        of = np.searchsorted(mine, token[here])
+        hit = np.flatnonzero(mine[np.minimum(of, len(mine) - 1)] == token[here])
+        found = {n for n in np.unique(line[here][hit]).tolist() if (n, t) in held}
+        out += ((d, n, t, c) for n, c in runs(pos[here][hit], of[hit], line[here][hit], len(mine), int(lengths[t]), int(index.need[t]), num, den, found))
+    return out
+
+
+def runs(pos: np.ndarray, token: np.ndarray, line: np.ndarray, m: int, length: int, need: int, num: int, den: int, found: set[int]) -> list[tuple[int, int]]:
+    """(line, overlap) of a template's runs across line ends in one document; found has the lines that hold it alone."""
     most = length * den // num
     near = pos[token < m - need + 1]  # the prefix
     if not len(near):
         return []
     at = np.searchsorted(near, pos)
     gap = np.minimum(np.abs(near[np.minimum(at, len(near) - 1)] - pos), np.abs(pos - near[np.maximum(at - 1, 0)]))
-    pos, token, line, doc = (x[gap < 2 * most] for x in (pos, token, line, doc))
-    cut_ = np.append(True, (np.diff(pos) >= 2 * most) | (np.diff(doc) != 0))
+    pos, token, line = (x[gap < 2 * most] for x in (pos, token, line))
+    cut_ = np.append(True, np.diff(pos) >= 2 * most)
     part = np.cumsum(cut_) - 1
     kinds = np.bincount(np.unique(part * m + token) // m, minlength=part[-1] + 1)
     begins = np.append(np.flatnonzero(cut_), len(pos))
     out = []
     for p in np.flatnonzero((kinds >= need) & (line[begins[1:] - 1] > line[begins[:-1]])):
-        last: dict[int, int] = {}  # of each token the last entry
+        last: dict[int, int] = {}  # of each token the last entry, by entry
         for e in range(begins[p], begins[p + 1]):
             if line[e] in found:
                 last.clear()
                 continue
+            last.pop(token[e], None)
             last[token[e]] = e
             if len(last) < need:
                 continue
-            s = sorted(last.values())[-need]
+            s = next(islice(last.values(), len(last) - need, None))
             ends = line[e] - line[s]
             if ends and pos[e] - pos[s] + 1 <= most + min(ends, length):
                 whole = slice(s, np.searchsorted(pos[: begins[p + 1]], pos[s] + most + min(ends, length)))
                 rest = ~np.isin(line[whole], list(found))
-                out.append((int(doc[s]), int(line[s]), len(np.unique(token[whole][rest]))))
+                out.append((int(line[s]), len(np.unique(token[whole][rest]))))
                 last.clear()
     return out
 
@@ -131,44 +236,26 @@ def scan(documents: DataFrame, templates=TEMPLATES, threshold: tuple[int, int] =
     rank[np.lexsort((keys, frequency))] = np.arange(len(keys))
     ordered = [np.sort(rank[np.searchsorted(keys, s)]) for s in sets]  # each template's tokens by rarity
     lengths = np.diff(t.first)
-    need = np.array([int(ceil_of(np.int64(len(s)), num, den)) for s in sets], np.int64)
+    index = Index(ordered, np.array([int(ceil_of(np.int64(len(s)), num, den)) for s in sets], np.int64), len(keys))
+    names = pa.array([name for name, _ in templates], pa.string())
 
     def find(batches):
         for batch in batches:
             for part in K.chunks(batch):
                 b = Blocks(part.column("text"), keys)
-                place = rank[b.token] if len(b.token) else b.token
-                order = np.lexsort((place, b.line))
-                line, place, doc, number = b.line[order], place[order], b.doc[order], b.number[order]
-                begins = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
-                block = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(line))))
-                size = np.bincount(block, minlength=len(begins))
+                if not len(b.token):
+                    continue
+                order = np.lexsort((rank[b.token], b.line))
+                line, template, overlap = alone(index, b.line[order], rank[b.token[order]], num, den)
+                at = np.searchsorted(b.line, line)
+                doc, number = b.doc[at], b.number[at]
                 pos, token, lines, docs_of = b.all
-                token = rank[token] if len(token) else token
-                for k, own in enumerate(ordered):
-                    m, o = len(own), need[k]
-                    if not m:
-                        continue
-                    i = np.searchsorted(own, place)
-                    shared = own[np.minimum(i, m - 1)] == place
-                    in_prefix = np.flatnonzero(shared & (i < m - o + 1) & (size[block] >= o))
-                    head, one = np.unique(block[in_prefix], return_index=True)  # the first token in common
-                    at = in_prefix[one]
-                    j = at - begins[head]
-                    head = head[1 + np.minimum(m - i[at] - 1, size[head] - j - 1) >= o]
-                    overlap = np.bincount(block[shared], minlength=len(begins))[head]
-                    head, overlap = head[overlap * den >= num * m], overlap[overlap * den >= num * m]
-                    alone: set[int] = set()
-                    if len(head):
-                        first = begins[head]
-                        alone = set(line[first].tolist())
-                        yield pa.record_batch([part.column("doc_id").take(pa.array(doc[first])), pa.array(number[first].astype(np.int32)), pa.array([templates[k][0]] * len(head), pa.string()), pa.array(overlap.astype(np.int32)), pa.array(overlap / m)], ["doc_id", "line_no", "template", "overlap", "containment"])
-                    of = np.searchsorted(own, token)
-                    some = own[np.minimum(of, m - 1)] == token
-                    runs = wrapped(pos[some], of[some], lines[some], docs_of[some], m, int(lengths[k]), int(o), threshold, alone)
-                    if runs:
-                        d, n, c = np.array(runs).T
-                        yield pa.record_batch([part.column("doc_id").take(pa.array(d)), pa.array((n - b.begin[d]).astype(np.int32)), pa.array([templates[k][0]] * len(d), pa.string()), pa.array(c.astype(np.int32)), pa.array(c / m)], ["doc_id", "line_no", "template", "overlap", "containment"])
+                more = wrapped(index, lengths, pos, rank[token], lines, docs_of, set(zip(line.tolist(), template.tolist())), num, den)
+                if more:
+                    d, n, k, c = np.array(more).T
+                    doc, number, template, overlap = np.append(doc, d), np.append(number, n - b.begin[d]), np.append(template, k), np.append(overlap, c)
+                if len(doc):
+                    yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), names.take(pa.array(template)), pa.array(overlap.astype(np.int32)), pa.array(overlap / index.size[template])], ["doc_id", "line_no", "template", "overlap", "containment"])
 
     return docs.mapInArrow(find, FOUND)
 
