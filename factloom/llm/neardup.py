@@ -9,14 +9,15 @@ candidates, and those whose token sequences have an edit similarity
 1 - distance / longer length of SIMILARITY or more, found by an alignment within
 a band that the threshold gives, are linked. Groups are connected components.
 
-Texts with the same token sequence are collapsed first. Within the documents of
-one sequence, first all are compared with the smallest id; then, in order to
+Texts with the same token sequence are collapsed first. Of the documents that
+share a sketch, first all are compared with the smallest id; then, in order to
 lose no link, all pairs that aren't in the same component by then. Hence no
 limit on the size of a bucket, and thousands of copies cost thousands of
-comparisons, not millions.
+comparisons, not millions. Buckets are met by joins on the sketch, which Spark
+splits where one is hot; none is gathered into a row.
 
 Defined results: null texts and texts without tokens are in no group, nor are
-rows without id. Of rows with the same id, the one whose hash is smallest
+rows without id. Of rows with the same id, the one whose text's hash is smallest
 counts. Long texts are sketched and aligned whole. Other columns are ignored by
 ``groups`` and kept unchanged by ``drop_copies``, which keeps of each group the
 smallest id, and of rows with the same id one.
@@ -26,11 +27,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import kernels as K_
 from factloom.llm.components import components
+from factloom.llm.linededup import TOKEN
 from factloom.session import cut
 
 #: With these, isolated pairs of just SIMILARITY become candidates in 0.94 of cases or more, whatever their length.
@@ -103,14 +106,11 @@ def sketches(e: np.ndarray, first: np.ndarray, length: int, count: int) -> np.nd
 
 def sequence_hash(t: K_.Tokens) -> np.ndarray:
     """Hash of each text's token sequence."""
-    up, down = K_.powers(len(t.h) + 1)
-    sums = np.zeros(len(t.h) + 1, np.uint64)
-    np.cumsum(t.h * up[: len(t.h)], out=sums[1:])
-    return K_.mix((sums[t.first[1:]] - sums[t.first[:-1]]) * down[t.first[:-1]] + np.diff(t.first).astype(np.uint64))
+    return K_.span_hash(K_.prefix_sums(t.h), t.first[:-1], t.first[1:])
 
 
 def signatures(documents: DataFrame, k: int, length: int, count: int) -> DataFrame:
-    """(doc_id, whole, size, sketches) of the documents with an id and tokens."""
+    """(doc_id, pick, whole, size, sketches) of the documents with an id and tokens."""
 
     def run(batches):
         for batch in batches:
@@ -119,9 +119,9 @@ def signatures(documents: DataFrame, k: int, length: int, count: int) -> DataFra
                 own = sketches(*sequences(t, k), length, count)
                 some = np.flatnonzero(np.diff(t.first))
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * count).astype(np.int32)), pa.array(own[some].view(np.int64).ravel()))
-                yield pa.record_batch([part.column("doc_id").take(pa.array(some)), pa.array(sequence_hash(t)[some].view(np.int64)), pa.array(np.diff(t.first)[some]), lists], ["doc_id", "whole", "size", "sketches"])
+                yield pa.record_batch([part.column("doc_id").take(pa.array(some)), part.column("pick").take(pa.array(some)), pa.array(sequence_hash(t)[some].view(np.int64)), pa.array(np.diff(t.first)[some]), lists], ["doc_id", "pick", "whole", "size", "sketches"])
 
-    return documents.mapInArrow(run, "doc_id long, whole long, size long, sketches array<long>")
+    return documents.mapInArrow(run, "doc_id long, pick long, whole long, size long, sketches array<long>")
 
 
 def strip_common(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     def run(batches):
         for batch in batches:
             sides = batch.select(["a", "b"])
-            length = np.maximum(*(np.array([len(x) for x in batch.column(c).to_pylist()], np.int64) for c in ("x", "y")))
+            length = np.maximum(*(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y")))
             cuts = np.flatnonzero(np.diff(np.cumsum(length) // K_.CHUNK_BYTES)) + 1
             for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [batch.num_rows]])):
                 if hi > lo:
@@ -247,47 +247,50 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def groups(documents: DataFrame, similarity: float = SIMILARITY, k: int = K, length: int = LENGTH, count: int = SKETCHES) -> DataFrame:
     """(doc_id, group_id) of every document in a group of two or more; group_id is the group's smallest id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    docs = docs.withColumn("pick", F.xxhash64("text"))
     signed = cut(signatures(docs, k, length, count))
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("whole", "size", "sketches")).alias("s")).select("doc_id", "s.*")
-    same = cut(one.groupBy("whole").agg(F.min(F.struct("doc_id", "size", "sketches")).alias("r"), F.collect_list("doc_id").alias("ids")))
-    alone = same.select(F.col("r.doc_id").alias("id"), "whole", F.col("r.size").alias("size"), F.col("r.sketches").alias("sketches"))
-    buckets = alone.select(F.struct("id", "size", "whole").alias("d"), F.explode("sketches").alias("key"))
-    # equal sets of members, as near-equal copies have, count once
-    buckets = cut(buckets.groupBy("key").agg(F.sort_array(F.collect_list("d")).alias("members")).where("size(members) > 1").dropDuplicates(["members"]).select("members"))
-    wanted = buckets.select(F.explode("members").alias("d")).select("d.id", "d.whole").distinct()
-    texts = cut(texts_of(docs, wanted))
+    one = signed.groupBy("doc_id").agg(F.min(F.struct("pick", "whole", "size", "sketches")).alias("s")).select("doc_id", "s.*")
+    same = cut(one.groupBy("whole").agg(F.min(F.struct("doc_id", "size", "sketches")).alias("r"), F.count("*").alias("n")))
+    keyed = same.select(F.struct(F.col("r.doc_id").alias("id"), F.col("r.size").alias("size"), "whole").alias("d"), F.explode("r.sketches").alias("key"))
+    marks = [F.bit_xor(F.xxhash64("d.id", F.lit(seed))).alias(f"x{seed}") for seed in (0, 1)]
+    keys = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("d").alias("p"), *marks).where("m > 1")
+    # equal sets of members, as near-equal copies have, count once; they're known by their number, smallest member and 128 bits of hash
+    keys = keys.groupBy("m", "p", "x0", "x1").agg(F.min("key").alias("key")).select("key", "p")
+    members = cut(keyed.join(keys, "key").select("key", "p", F.col("d").alias("q")))
+    texts = cut(texts_of(docs, members.select("q.id", "q.whole").distinct()))
 
     def near(a: str, b: str):
         return F.expr(f"least({a}.size, {b}.size) >= {similarity} * greatest({a}.size, {b}.size)")
 
-    stars = buckets.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("q")).where(near("p", "q"))
-    stars = stars.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    stars = members.where("p.id <> q.id").where(near("p", "q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     links = cut(verified(stars, texts, similarity))
     roots = components(links)
 
     # the pairs of a bucket that the first comparisons leave apart
-    seen = buckets.select(F.monotonically_increasing_id().alias("bucket"), F.explode("members").alias("d"))
-    seen = seen.join(roots.select("node", "root"), F.col("d.id") == F.col("node"), "left").select("bucket", "d", F.coalesce("root", "d.id").alias("root"))
-    mixed = seen.groupBy("bucket").agg(F.collect_list(F.struct("root", "d")).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    rest = mixed.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q")).where("p.d.id < q.d.id and p.root <> q.root").where(near("p.d", "q.d"))
-    rest = rest.select(F.col("p.d.id").alias("a"), F.col("q.d.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    seen = members.select("key", "q").join(roots, F.col("q.id") == F.col("node"), "left").select("key", "q", F.coalesce("root", "q.id").alias("root"))
+    mixed = seen.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    seen = seen.join(mixed, "key", "left_semi")
+    sides = [seen.select("key", F.col("q").alias(side), F.col("root").alias(f"root_{side}")) for side in "xy"]
+    rest = sides[0].join(sides[1], "key").where("x.id < y.id and root_x <> root_y").where(near("x", "y"))
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = cut(verified(rest, texts, similarity))
     if not more.isEmpty():
         roots = components(links.union(more))
-    copies = same.select(F.col("r.doc_id").alias("node"), F.explode("ids").alias("doc_id"), F.size("ids").alias("n"))
-    linked = copies.join(roots, "node", "left").where("root is not null or n > 1")
-    return linked.select("doc_id", F.coalesce("root", "node").alias("group_id"))
+    ids = signed.groupBy("doc_id").agg(F.min(F.struct("pick", "whole")).alias("s")).select("doc_id", "s.whole")
+    copies = ids.join(same.select("whole", F.col("r.doc_id").alias("of"), "n"), "whole")
+    linked = copies.join(roots, F.col("of") == F.col("node"), "left").where("root is not null or n > 1")
+    return linked.select("doc_id", F.coalesce("root", "of").alias("group_id"))
 
 
 def drop_copies(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, but of each group only the one with the smallest id."""
-    extra = groups(documents, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("__doc"), F.lit(True).alias("__copy"))
-    again = documents.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__doc")).count().where("count > 1").select("__doc", F.lit(True).alias("__again"))
-    columns = [documents[c] for c in documents.columns]
-    if again.isEmpty():
-        return documents.join(extra, documents["doc_id"].cast("long") == F.col("__doc"), "left_anti").select(columns)
-    marks = extra.join(again, "__doc", "full")
-    marked = documents.join(marks, documents["doc_id"].cast("long") == F.col("__doc"), "left")
-    single = marked.where("__copy is null and __again is null").select(columns)
-    repeated = marked.where("__copy is null and __again").select(columns).dropDuplicates(["doc_id"])
-    return single.union(repeated)
+    """The documents, but of each group only the one with the smallest id, and of rows with the same id the one that counts (without tokens in any: that whose hash is smallest)."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = documents.select(whole.alias("r"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    extra = groups(documents, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("id"))
+    left = rows.join(extra, "id", "left_anti")
+    again = rows.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    if not again.isEmpty():
+        order = F.struct(~F.coalesce(F.lower("text").rlike(TOKEN), F.lit(False)), F.xxhash64("text"), F.xxhash64(F.to_json("r")))
+        repeated = left.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("r", order).alias("r"))
+        left = left.join(again, "id", "left_anti").select("r").union(repeated.select("r"))
+    return left.select(*(F.col("r").getField(c).alias(c) for c in documents.columns))
