@@ -7,9 +7,10 @@ share such a fingerprint, so the fingerprints that training and test texts have
 in common, extended to both sides as far as the tokens agree, give every
 maximal shared span of that length.
 
-The test side travels to the tasks in pieces of at most PIECE_BYTES of text; a
-larger benchmark takes several passes over the training side, which is never
-shuffled.
+A test side of at most BROADCAST_BYTES, which is checked, travels to the tasks, and
+the training side is passed over once and not shuffled. Beyond that fingerprints
+are joined by their hashes, and only texts that have one in common with an item
+are brought together with it.
 
 Defined results: null and empty texts, and texts of less than K + W - 1 tokens,
 have no spans. Each row counts for itself: repeated rows give repeated results,
@@ -19,8 +20,6 @@ ignored by ``leaks`` and kept unchanged by ``drop_leaks``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +29,8 @@ from factloom.llm import kernels as K_
 
 K = 5
 W = 9
-PIECE_BYTES = 32 << 20
+#: Bytes of test texts, at most, that travel to the tasks; more are met by joining fingerprints.
+BROADCAST_BYTES = 16 << 20
 LEAK_SCHEMA = "doc_id long, item_id long, doc_start int, item_start int, n_tokens int"
 
 
@@ -64,14 +64,55 @@ def fingerprints(tokens: K_.Tokens, k: int, w: int) -> tuple[np.ndarray, np.ndar
     return g[at[kept]], at[kept]
 
 
+def spans(h: np.ndarray, first: np.ndarray, p: np.ndarray, doc: np.ndarray, other: np.ndarray, others: np.ndarray, q: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(text, item, start in text, start in item, tokens) of the maximal shared spans of so many tokens that the hits (p, q) lie in.
+
+    h, other: tokens of all texts and items; first, others: where each begins. Of the
+    hits on a diagonal only the first is extended, then the first beyond the span
+    found, and so on.
+    """
+    order = np.lexsort((p, p - q, item, doc))
+    p, q, doc, item = p[order], q[order], doc[order], item[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1])
+    diagonal = np.cumsum(new) - 1
+    last = np.append(np.flatnonzero(new)[1:], len(p))
+    found = []
+    at = np.flatnonzero(new)
+    while len(at):
+        left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for way, reach in ((-1, left), (1, right)):
+            live = np.arange(len(at))
+            step = 0
+            while len(live):
+                step += way
+                i, j = p[at[live]] + step, q[at[live]] + step
+                d, b = doc[at[live]], item[at[live]]
+                ok = (i >= first[d]) & (i < first[d + 1]) & (j >= others[b]) & (j < others[b + 1])
+                live, i, j = live[ok], i[ok], j[ok]
+                live = live[h[i] == other[j]]
+                reach[live] += 1
+        n = left + right + 1
+        long = n >= least
+        start = at[long]
+        found.append(np.stack([doc[start], item[start], p[start] - left[long] - first[doc[start]], q[start] - left[long] - others[item[start]], n[long]]))
+        # the next hit of the diagonal behind the span's end
+        behind = np.searchsorted(diagonal * _FAR + p, diagonal[at] * _FAR + p[at] + right, side="right")
+        at = behind[behind < last[diagonal[at]]]
+    rows = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+    return tuple(rows)
+
+
+_FAR = 1 << 33
+
+
 class TestIndex:
     """Fingerprints of the test texts, sorted, with the texts' tokens."""
 
-    def __init__(self, ids: list, texts: list, k: int, w: int):
+    def __init__(self, texts: list, k: int, w: int):
         self.k, self.w = k, w
         tokens = K_.tokenise(pa.array(texts, pa.string()))
         self.h, self.doc, self.first = tokens.h, tokens.doc, tokens.first
-        self.ids = pa.array(ids, pa.int64())
         fp, at = fingerprints(tokens, k, w)
         order = np.argsort(fp, kind="stable")
         self.fp, self.at = fp[order], at[order]
@@ -87,75 +128,108 @@ class TestIndex:
         count = np.searchsorted(self.fp, fp, side="right") - low
         p = np.repeat(at, count)
         q = self.at[K_.ragged(low, count)]
-        # one hit a diagonal is enough where hits follow each other within the window; the extension makes them equal
-        doc, item = tokens.doc[p], self.doc[q]
-        left, right = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        for way, found in ((-1, left), (1, right)):
-            live = np.arange(len(p))
-            step = 0
-            while len(live):
-                step += way
-                i, j = p[live] + step, q[live] + step
-                ok = (i >= tokens.first[doc[live]]) & (i < tokens.first[doc[live] + 1]) & (j >= self.first[item[live]]) & (j < self.first[item[live] + 1])
-                live, i, j = live[ok], i[ok], j[ok]
-                live = live[tokens.h[i] == self.h[j]]
-                found[live] += 1
-        n = left + right + 1
-        long = n >= self.k + self.w - 1
-        rows = np.stack([doc, item, p - left - tokens.first[doc], q - left - self.first[item], n])[:, long]
-        return tuple(np.unique(rows, axis=1)) if rows.shape[1] else tuple(rows)
-
-
-def test_pieces(benchmark: DataFrame, piece_bytes: int) -> Iterator[list]:
-    """The test items, in lists of at most about piece_bytes of text (one item at least)."""
-    piece, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator():
-        n = len(row[1])
-        if piece and size + n > piece_bytes:
-            yield piece
-            piece, size = [], 0
-        piece.append((row[0], row[1]))
-        size += n
-    if piece:
-        yield piece
-
-
-def leaks(documents: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """(doc_id, item_id, doc_start, item_start, n_tokens): all maximal spans of k + w - 1 or more tokens that a document shares with a test item."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for piece in test_pieces(benchmark, piece_bytes):
-        ids, texts = zip(*piece)
+        return spans(tokens.h, tokens.first, p, tokens.doc[p], self.h, self.first, q, self.doc[q], self.k + self.w - 1)
+
 
-        def find(batches, ids=list(ids), texts=list(texts)):
-            index = TestIndex(ids, texts, k, w)
+def named(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(name, text, h0, h1): the texts' names and two hashes."""
+    text = F.col("text").cast("string")
+    return rows.select(F.col(key).cast("long").alias(name), text.alias("text"), *(F.xxhash64(text, F.lit(seed)).alias(f"h{seed}") for seed in (0, 1))).where("text is not null")
+
+
+def small(benchmark: DataFrame, most: int) -> bool:
+    return (benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) <= most
+
+
+def met(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
+    """(h0, h1, i0, i1, doc_start, item_start, n_tokens): the spans that texts share with items, both known by their hashes.
+
+    Fingerprints are joined by their hashes; a filter of fixed size keeps those back
+    that no item has. Then the pairs' texts are joined in and their hits extended.
+    """
+
+    def prints(some: np.ndarray | None):
+        def run(batches):
             for batch in batches:
                 for part in K_.chunks(batch):
-                    doc, item, start, at, n = index.spans(K_.tokenise(part.column("text")))
+                    t = K_.tokenise(part.column("text"))
+                    fp, at = fingerprints(t, k, w)
+                    doc = t.doc[at]
+                    if some is not None:
+                        likely = some[(fp >> np.uint64(64 - _FILTER)).astype(np.int64)]
+                        fp, doc = fp[likely], doc[likely]
+                    both = np.unique(np.stack([doc, fp.view(np.int64)]), axis=1)
+                    yield pa.record_batch([part.column("h0").take(pa.array(both[0])), part.column("h1").take(pa.array(both[0])), pa.array(both[1])], ["h0", "h1", "fp"])
+
+        return run
+
+    texts, tests = (x.select("h0", "h1", "text").dropDuplicates(["h0", "h1"]) for x in (docs, items))
+    have = tests.mapInArrow(prints(None), "h0 long, h1 long, fp long").select(F.col("h0").alias("i0"), F.col("h1").alias("i1"), "fp")
+    slots = have.select(F.shiftrightunsigned("fp", 64 - _FILTER).cast("int").alias("slot")).distinct().toArrow()
+    some = np.zeros(1 << _FILTER, bool)
+    some[slots["slot"].to_numpy()] = True
+    pairs = docs.select("h0", "h1", "text").mapInArrow(prints(some), "h0 long, h1 long, fp long").join(have, "fp").select("h0", "h1", "i0", "i1").distinct()
+
+    def extend(batches):
+        for batch in batches:
+            for part in K_.chunks(batch):
+                for row in range(part.num_rows):
+                    own = part.slice(row, 1)
+                    t = K_.tokenise(own.column("text"))
+                    doc, _, start, at, n = TestIndex(own.column("item").to_pylist(), k, w).spans(t)
                     if len(doc):
-                        yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), index.ids.take(pa.array(item)), *(pa.array(x.astype(np.int32)) for x in (start, at, n))], ["doc_id", "item_id", "doc_start", "item_start", "n_tokens"])
+                        yield pa.record_batch([*(own.column(c).take(pa.array(doc)) for c in ("h0", "h1", "i0", "i1")), *(pa.array(x.astype(np.int32)) for x in (start, at, n))], ["h0", "h1", "i0", "i1", "doc_start", "item_start", "n_tokens"])
+
+    sides = pairs.join(texts, ["h0", "h1"]).join(tests.select(F.col("h0").alias("i0"), F.col("h1").alias("i1"), F.col("text").alias("item")), ["i0", "i1"])
+    return sides.select("h0", "h1", "i0", "i1", "text", "item").mapInArrow(extend, "h0 long, h1 long, i0 long, i1 long, doc_start int, item_start int, n_tokens int")
+
+
+_FILTER = 22
 
-        found = docs.mapInArrow(find, LEAK_SCHEMA)
-        out = found if out is None else out.unionAll(found)
-    return documents.sparkSession.createDataFrame([], LEAK_SCHEMA) if out is None else out
+
+def leaks(documents: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id, doc_start, item_start, n_tokens): all maximal spans of k + w - 1 or more tokens that a document shares with a test item."""
+    if not small(benchmark, broadcast_bytes):
+        docs, items = named(documents, "doc_id", "doc_id"), named(benchmark, "item_id", "item_id")
+        found = met(docs, items, k, w)
+        found = found.join(docs.drop("text"), ["h0", "h1"]).join(items.select("item_id", F.col("h0").alias("i0"), F.col("h1").alias("i1")), ["i0", "i1"])
+        return found.select("doc_id", "item_id", "doc_start", "item_start", "n_tokens")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").collect()
+    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+
+    def find(batches):
+        index, names = TestIndex(texts, k, w), pa.array(ids, pa.int64())
+        for batch in batches:
+            for part in K_.chunks(batch):
+                doc, item, start, at, n = index.spans(K_.tokenise(part.column("text")))
+                if len(doc):
+                    yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), names.take(pa.array(item)), *(pa.array(x.astype(np.int32)) for x in (start, at, n))], ["doc_id", "item_id", "doc_start", "item_start", "n_tokens"])
+
+    return docs.mapInArrow(find, LEAK_SCHEMA)
 
 
-def drop_leaks(documents: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def drop_leaks(documents: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents without those that share a span with a test item."""
-    out = documents
-    for piece in test_pieces(benchmark, piece_bytes):
-        ids, texts = zip(*piece)
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    if not small(benchmark, broadcast_bytes):
+        bad = met(named(documents, "doc_id", "doc_id"), named(benchmark, "item_id", "item_id"), k, w).select("h0", "h1").distinct()
+        text = F.col("text").cast("string")
+        keyed = documents.select(whole.alias("r"), *(F.when(text.isNotNull(), F.xxhash64(text, F.lit(seed))).alias(f"h{seed}") for seed in (0, 1)))
+        return keyed.join(bad, ["h0", "h1"], "left_anti").select(*(F.col("r").getField(c).alias(c) for c in documents.columns))
+    texts = [r[0] for r in benchmark.select(F.col("text").cast("string")).where("text is not null").collect()]
 
-        def keep(batches, ids=list(ids), texts=list(texts)):
-            index = TestIndex(ids, texts, k, w)
-            for batch in batches:
-                for part in K_.chunks(batch):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[index.spans(K_.tokenise(part.column("text")))[0]] = False
-                    yield part.filter(pa.array(clean))
+    def make():
+        index = TestIndex(texts, k, w)
+
+        def keep(own: pa.Array) -> np.ndarray:
+            clean = np.ones(len(own), bool)
+            clean[index.spans(K_.tokenise(own))[0]] = False
+            return clean
+
+        return keep
 
-        out = out.mapInArrow(keep, out.schema)
-    return out
+    return K_.filtered(documents, make)
 
 
 #: The same spans as runs, on a diagonal, of shared windows of K + W - 1 tokens.

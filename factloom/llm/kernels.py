@@ -9,12 +9,13 @@ by a 64-bit hash of its bytes. Null texts count as empty.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; a longer text makes a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -25,18 +26,47 @@ _WORD = np.zeros(256, bool)
 for _range in (range(48, 58), range(97, 123), range(128, 256)):
     _WORD[list(_range)] = True
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-_powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse, modulo 2**64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES * 5 // 4)
-        for name, base in (("up", _P), ("down", _P_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"]
+def _table(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_LOW = 4096
+_low = {name: _table(base, _LOW) for name, base in (("up", _P), ("down", _P_INVERSE))}
+_high = {name: _table(pow(base, _LOW, 1 << 64), _LOW) for name, base in (("up", _P), ("down", _P_INVERSE))}
+
+
+_block = _table(_P, 1 << 17)
+
+
+def power(at: np.ndarray, name: str = "up") -> np.ndarray:
+    """The hash's base, or its inverse, to the powers given, modulo 2**64: a product from two tables of fixed size, with a third for texts beyond 16 MB."""
+    out = _low[name][at & (_LOW - 1)] * _high[name][(at >> 12) & (_LOW - 1)]
+    if len(at) and int(at.max()) >> 24:
+        base = pow(_P if name == "up" else _P_INVERSE, 1 << 24, 1 << 64)
+        out *= _table(base, (int(at.max()) >> 24) + 1)[at >> 24]
+    return out
+
+
+def prefix_sums(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash over bytes or hashes, block by block so that little else is held."""
+    out = np.zeros(len(raw) + 1, np.uint64)
+    for lo in range(0, len(raw), len(_block)):
+        own = raw[lo : lo + len(_block)].astype(np.uint64)
+        own += np.uint64(1)
+        own *= _block[: len(own)]
+        own *= np.uint64(pow(_P, lo, 1 << 64))
+        own[:1] += out[lo : lo + 1]
+        np.cumsum(own, out=out[lo + 1 : lo + 1 + len(own)])
+    return out
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans, from their prefix sums."""
+    return mix((prefix[end] - prefix[start]) * power(start, "down") + (end - start).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,6 +102,21 @@ def _give_back() -> None:
         _trim(0)
 
 
+def filtered(documents: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The documents whose texts a test lets through, with all their columns, whatever these are called. make: gives the test, once a task."""
+    names = [f"c{n}" for n in range(len(documents.columns))]
+    text = names[documents.columns.index("text")]
+    plain = documents.toDF(*names)
+
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            for part in chunks(batch, text):
+                yield part.filter(pa.array(keep(part.column(text))))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
+
+
 def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -98,34 +143,30 @@ class Tokens:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of byte spans."""
-        _, down = powers(len(self.raw) + 1)
-        return mix((self.prefix[end] - self.prefix[start]) * down[start] + (end - start).astype(np.uint64))
+        return span_hash(self.prefix, start, end)
 
 
 def tokenise(texts: pa.Array) -> Tokens:
     raw, offsets = string_bytes(pc.utf8_lower(pc.fill_null(texts, "")))
     n = len(raw)
-    up, down = powers(n + 1)
     word = _WORD[raw]
-    before = np.empty(n, bool)
+    edge = np.empty(n, bool)  # the first byte of a token, then the last
     if n:
-        before[0] = False
-        before[1:] = word[:-1]
-        cut = offsets[:-1]
-        before[cut[cut < n]] = False
-    start = np.flatnonzero(word & ~before)
-    after = np.empty(n, bool)
+        edge[0] = word[0]
+        np.greater(word[1:], word[:-1], out=edge[1:])
+        cut = offsets[:-1][offsets[:-1] < n]
+        edge[cut] = word[cut]
+    start = np.flatnonzero(edge)
     if n:
-        after[-1] = False
-        after[:-1] = word[1:]
-        cut = offsets[1:] - 1
-        after[cut[cut >= 0]] = False
-    end = np.flatnonzero(word & ~after) + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+        edge[-1] = word[-1]
+        np.greater(word[:-1], word[1:], out=edge[:-1])
+        cut = offsets[1:][offsets[1:] > 0] - 1
+        edge[cut] = word[cut]
+    end = np.flatnonzero(edge) + 1
+    del word, edge
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    tokens = Tokens(np.zeros(0, np.uint64), doc, start, end, raw, offsets, first, prefix)
+    tokens = Tokens(np.zeros(0, np.uint64), doc, start, end, raw, offsets, first, prefix_sums(raw))
     tokens.h = tokens.span_hash(start, end)
     return tokens
 
@@ -136,7 +177,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    up, _ = powers(k)
+    up = power(np.arange(k))
     for j in range(k):
         out += h[j : j + n] * up[j]
     return mix(out)

@@ -58,10 +58,7 @@ def byte_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 def halves(texts: pa.Array) -> np.ndarray:
     """0 or 1 by the text's hash."""
     raw, offsets = K.string_bytes(texts)
-    up, down = K.powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return (K.mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]]) >> np.uint64(63)).astype(np.int64)
+    return (K.span_hash(K.prefix_sums(raw), offsets[:-1], offsets[1:]) >> np.uint64(63)).astype(np.int64)
 
 
 def counter(order: int):

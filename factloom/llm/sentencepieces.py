@@ -14,6 +14,9 @@ another if merging the two together gives just these two back, which holds for
 exactly one last piece of every prefix (each piece that is part of a merge
 result must itself be reachable). So for both kinds the ids are the library's.
 
+A long word, as texts without blanks are, is first cut wherever no piece spans
+two neighbouring characters; its parts are then words like any other.
+
 Characters that no piece covers are given as the bytes' pieces. Texts are used
 as they are, with the dummy prefix; special tokens aren't added, and their
 strings are ordinary text.
@@ -38,8 +41,11 @@ from factloom.llm import kernels as K
 #: Where the model file is; a cluster gives its own path.
 MODEL_PATH = os.environ.get("FACTLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-#: Bytes of text segmented at once: more than elsewhere, as a word's second occurrence costs next to nothing.
-CHUNK = 3 << 20
+#: Bytes of text segmented at once.
+CHUNK = 1 << 20
+#: Words of more characters are cut, where no piece spans the seam, into parts that are segmented as words are.
+LONG = 24
+_AT_ONCE = 1 << 17
 ENCODED = "doc_id long, ids array<int>, n_tokens int, round_trip boolean"
 
 
@@ -68,7 +74,10 @@ class Pieces:
         order = np.argsort(h)
         self.keys, self.ids = h[order], np.array(plain, np.int64)[order]
         kept = set(plain)
-        self.bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(MARK, " ").encode() if i in kept else b"" for i, t in enumerate(self.text)]
+        texts = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(MARK, " ").encode() if i in kept else b"" for i, t in enumerate(self.text)]
+        self.pool = np.frombuffer(b"".join(texts), np.uint8)  # all pieces' bytes, end to end
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
         self.mask = np.zeros(1 << 18, bool)
         self.mask[(self.keys >> np.uint64(46)).astype(np.int64)] = True
         # tables of the merging kind: a piece's hash and length, its place in the order of merges, and the two parts of its last merge
@@ -260,16 +269,47 @@ def viterbi(p: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return last, back
 
 
+def seams(p: Pieces, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, word) of the parts of words: long ones are cut wherever no piece spans two neighbouring characters.
+
+    Neither a best segmentation nor a merge crosses such a place.
+    """
+    long = np.flatnonzero(lengths > LONG)
+    if not len(long):
+        return starts, lengths, np.arange(len(starts))
+    at = K.ragged(starts[long], lengths[long])
+    own = codes[at].astype(np.uint64) + np.uint64(1)
+    word = np.repeat(long, lengths[long])
+    spanned = np.zeros(len(own) + 1, np.int32)
+    h = own
+    for size in range(2, min(p.longest, len(own)) + 1):
+        h = h[:-1] * np.uint64(_BASE) + own[size - 1 :]
+        hit = np.flatnonzero(p.find(h) >= 0)
+        hit = hit[word[hit] == word[hit + size - 1]]
+        spanned += np.bincount(hit + 1, minlength=len(spanned))[: len(spanned)].astype(np.int32)
+        spanned -= np.bincount(hit + size, minlength=len(spanned))[: len(spanned)].astype(np.int32)
+    free = np.cumsum(spanned)[:-1] == 0
+    free[0] = True
+    free[1:] |= word[1:] != word[:-1]
+    begin = np.flatnonzero(free)
+    part_start, part_word = at[begin], word[begin]
+    part_length = np.diff(np.append(begin, len(own)))
+    short = np.flatnonzero(lengths <= LONG)
+    part_start, part_length, part_word = (np.concatenate(x) for x in ((starts[short], part_start), (lengths[short], part_length), (short, part_word)))
+    order = np.lexsort((part_start, part_word))
+    return part_start[order], part_length[order], part_word[order]
+
+
 def segment(p: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words end to end, ids of each word)."""
     lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
     raw = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
     codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    starts = np.cumsum(lengths) - lengths
+    starts, lengths, word_of = seams(p, codes, np.cumsum(lengths) - lengths, lengths)
     counts = np.zeros(len(words), np.int64)
     found = []
     order = np.argsort(lengths, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(words) else []:
+    for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
         length = int(lengths[group[0]])
         if not length:
             continue
@@ -293,9 +333,9 @@ def segment(p: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 step += 1
     if not found:
         return np.zeros(0, np.int32), counts
-    word, step, piece = (np.concatenate(x) for x in zip(*found))
-    counts = np.bincount(word, minlength=len(words))
-    return piece[np.lexsort((-step, word))].astype(np.int32), counts
+    part, step, piece = (np.concatenate(x) for x in zip(*found))
+    counts = np.bincount(word_of[part], minlength=len(words))
+    return piece[np.lexsort((-step, part))].astype(np.int32), counts
 
 
 def encode(p: Pieces, texts: pa.Array, seen: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +363,7 @@ def encode(p: Pieces, texts: pa.Array, seen: Words | None = None) -> tuple[np.nd
 class Words:
     """The words that a task has segmented, known by their hashes: so many at most, then it begins anew."""
 
-    MOST = 1 << 20
+    MOST = 1 << 18
 
     def __init__(self):
         self.clear()
@@ -334,10 +374,7 @@ class Words:
 
     def of(self, p: Pieces, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """(word's index, then of all words known: first id, ids, and the ids end to end)."""
-        up, down = K.powers(len(raw) + 1)
-        prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=prefix[1:])
-        h = K.mix((prefix[bounds[1:]] - prefix[bounds[:-1]]) * down[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
+        h = K.span_hash(K.prefix_sums(raw), bounds[:-1], bounds[1:])
         keys, one, where = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.MOST:
             self.clear()
@@ -356,10 +393,30 @@ class Words:
         return np.searchsorted(self.keys, keys)[where], self.first, self.counts, self.ids
 
 
-def decode(p: Pieces, ids: np.ndarray) -> str:
-    """The text of ids: pieces' characters and bytes, without the dummy prefix."""
-    text = b"".join(map(p.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
-    return text[1:] if text[:1] == " " else text
+def spelled(p: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts of ids, so many for each text: pieces' characters and bytes, without the dummy prefix."""
+    size = p.sizes[ids]
+    parts = [p.pool[K.ragged(p.firsts[ids[k : k + _AT_ONCE]], size[k : k + _AT_ONCE])] for k in range(0, len(ids), _AT_ONCE)]
+    raw = np.concatenate([*parts, np.zeros(0, np.uint8)])
+    ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts))]
+    lead = ends[:-1][np.diff(ends) > 0]
+    lead = lead[raw[lead] == 32]
+    keep = np.ones(len(raw), bool)
+    keep[lead] = False
+    gone = np.append(0, np.cumsum(~keep))
+    return raw[keep], ends - gone[ends]
+
+
+def same_texts(raw: np.ndarray, offsets: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether the texts are equal, byte by byte."""
+    size = np.diff(offsets)
+    ok = size == np.diff(others)
+    if not ok.all():
+        raw, other = raw[np.repeat(ok, size)], other[np.repeat(ok, np.diff(others))]
+    rows = np.flatnonzero(ok)
+    wrong = np.searchsorted(np.cumsum(size[rows]), np.flatnonzero(raw != other), side="right")
+    ok[rows[wrong]] = False
+    return ok
 
 
 def encoded(documents: DataFrame, path: str = MODEL_PATH) -> DataFrame:
@@ -373,26 +430,44 @@ def encoded(documents: DataFrame, path: str = MODEL_PATH) -> DataFrame:
             for part in K.chunks(batch, size=CHUNK):
                 texts = part.column("text")
                 ids, counts = encode(p, texts, seen)
-                ends = np.cumsum(counts)
-                ok = [None if t is None else decode(p, ids[e - n : e]) == t for t, n, e in zip(texts.to_pylist(), counts.tolist(), ends.tolist())]
                 missing = pc.is_null(texts)
-                offsets = pa.array(np.append(0, ends).astype(np.int32))
+                ok = pc.if_else(missing, pa.scalar(None, pa.bool_()), pa.array(same_texts(*spelled(p, ids, counts), *K.string_bytes(texts))))
+                offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 lists = pc.if_else(missing, pa.scalar(None, lists.type), lists)
                 sizes = pc.if_else(missing, pa.scalar(None, pa.int32()), pa.array(counts.astype(np.int32)))
-                yield pa.record_batch([part.column("doc_id"), lists, sizes, pa.array(ok, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+                yield pa.record_batch([part.column("doc_id"), lists, sizes, ok], ["doc_id", "ids", "n_tokens", "round_trip"])
 
     return docs.mapInArrow(run, ENCODED)
 
 
 def decoded(tokens: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids)."""
+    """(doc_id, text) of (doc_id, ids): null ids, or a null among them, have a null text; ids that the model lacks spell nothing, and bytes that aren't UTF-8 become replacement marks."""
     p = pieces(path)
 
+    def texts_of(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        holes = pc.is_null(flat).to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.append(0, np.cumsum(counts))
+        torn = np.diff(np.append(0, np.cumsum(holes))[ends]) > 0
+        known = (ids >= 0) & (ids < len(p.sizes))
+        raw, offsets = spelled(p, ids[known], np.diff(np.append(0, np.cumsum(known))[ends]))
+        blobs = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+        try:
+            texts = blobs.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([b.decode("utf-8", "replace") for b in blobs.to_pylist()], pa.string())
+        return pc.if_else(pc.or_(pc.is_null(lists), pa.array(torn)), pa.scalar(None, pa.string()), texts)
+
     def run(batches):
         for batch in batches:
-            ids = batch.column("ids")
-            texts = [None if x is None else decode(p, np.array(x, np.int64)) for x in ids.to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+            n = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // CHUNK)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
+                if hi > lo:
+                    own = batch.slice(lo, hi - lo)
+                    yield pa.record_batch([own.column("doc_id"), texts_of(own.column("ids"))], ["doc_id", "text"])
+
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -7,12 +7,15 @@ that didn't see the row (out of fold); for scoring, from the models fitted on
 all rows. The decision is the last category's.
 
 Models are fitted on the driver on at most SAMPLE labelled documents, those
-whose ids have the smallest hashes. Scoring is one pass over all documents that
+whose ids have the smallest hashes, and on the FEATURES features of the clearest
+connection with the category among those that RARE documents have at least.
+Scoring is one pass over all documents that
 shuffles nothing. Features are 32-bit hashes.
 
 Defined results: a null or empty text has no features, so it gets the
 intercepts' probabilities. Labels: of repeated ids the largest counts, null ids
-and null labels don't; a category with no labels, or only one value of them,
+and null labels don't; of documents with the same id that with the smallest
+hash trains; a category with no labels, or only one value of them,
 gets the smoothed share of positives, so that without labels nothing is
 rejected. Rows count for themselves, so
 repeated rows get equal scores. Other columns are ignored by ``score`` and kept
@@ -37,6 +40,7 @@ CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 BEGINNINGS = (3, 4, 5, 6)
 FOLDS = 3
 FEATURES = 4096
+RARE = 3
 L1 = 2e-4
 STEPS = 200
 DECISION = 0.5
@@ -81,7 +85,7 @@ def fit(row: np.ndarray, col: np.ndarray, keys: np.ndarray, earlier: np.ndarray,
     df = np.bincount(col, minlength=len(keys))
     pull = np.bincount(col, weights=(y - y.mean())[row], minlength=len(keys))
     with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.where(df >= 3, np.abs(pull) / np.sqrt(df * (1 - df / (n + 1))), 0)
+        z = np.where(df >= RARE, np.abs(pull) / np.sqrt(df * (1 - df / (n + 1))), 0)
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     chosen = chosen[z[chosen] > 0]
     new = np.full(len(keys), -1)
@@ -170,11 +174,12 @@ def train(documents: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SA
                 yield pa.record_batch([*(part.column(c) for c in part.schema.names if c != "text"), pa.array(blobs, pa.binary())], [*(c for c in part.schema.names if c != "text"), "keys"])
 
     ys = [f"y{i}" for i in range(len(names))]
-    docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = docs.join(F.broadcast(known), "id").select("id", *ys, "text")  # the sample's size bounds what is broadcast
+    docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("pick"))
+    rows = docs.join(F.broadcast(known), "id")  # the sample's size bounds what is broadcast
+    rows = rows.groupBy("id", *ys).agg(F.min_by("text", "pick").alias("text"))  # of rows that share an id one trains
     table = rows.mapInArrow(gather, ", ".join(["id long", *(f"{y} double" for y in ys), "keys binary"])).toArrow()
     ids = table["id"].to_numpy()
-    _, one = np.unique(ids, return_index=True)
+    one = np.argsort(ids)
     blobs = table["keys"].combine_chunks() if table.num_rows else pa.array([], pa.binary())
     keys = [np.frombuffer(blobs[int(i)].as_buffer(), np.uint32) for i in one]
     row = np.repeat(np.arange(len(one)), [len(k) for k in keys]).astype(np.int64)
@@ -222,10 +227,4 @@ def score(documents: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SA
 def drop_toxic(documents: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -> DataFrame:
     """The documents that the chain doesn't reject."""
     scorer = Scorer(train(documents, labels, chain, sample))
-
-    def run(batches):
-        for batch in batches:
-            for part in K.chunks(batch):
-                yield part.filter(pa.array(scorer(part.column("text"))[:, -1] <= DECISION))
-
-    return documents.mapInArrow(run, documents.schema)
+    return K.filtered(documents, lambda: lambda texts: scorer(texts)[:, -1] <= DECISION)
