@@ -35,3 +35,25 @@ def classify_cached(facts: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     kind = F.when(F.col("fact_type_explicit"), F.col("__own")).otherwise(F.coalesce("__cached", F.when(sure, F.col("fact_type")), F.lit("durable")))
     fresh = joined.where(~F.col("fact_type_explicit") & F.col("__cached").isNull() & sure).select("body_hash", "fact_type").dropDuplicates(["body_hash"])
     return joined.withColumn("fact_type", kind).select(facts.columns), fresh
+
+
+#: What a fact is taken to cost of a compile's tokens, and how much of its body is shown.
+TOKENS, SHOWN = 50, 200
+
+
+def by_callable(facts: DataFrame, cache: DataFrame, classifier, most_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(facts, new cache rows): facts whose type neither they, the cache nor the rules tell get it from a callable, as far as the tokens last.
+
+    classifier: [(id, title, body)] -> {id: (fact_type, confidence)}. It's called on the
+    driver, as a model's budget is for all; the facts asked about are those whose ids
+    come first. What it leaves out stays durable and isn't cached.
+    """
+    known = cache.select("body_hash").distinct()
+    open_ = facts.where(~F.col("fact_type_explicit")).withColumn("body_hash", F.md5("body")).join(known, "body_hash", "left_anti")
+    asked = open_.orderBy("id").limit(max(0, most_tokens // TOKENS)).select("id", F.coalesce("title", F.lit("")), F.substring(F.coalesce("body", F.lit("")), 1, SHOWN), "body_hash").collect()
+    said = classifier([tuple(r)[:3] for r in asked]) if asked else {}
+    rows = [(r["body_hash"], said[r["id"]][0]) for r in asked if r["id"] in said]
+    fresh = facts.sparkSession.createDataFrame(sorted(set(rows)), "body_hash string, fact_type string").dropDuplicates(["body_hash"])
+    joined = facts.withColumn("body_hash", F.md5("body")).join(F.broadcast(fresh.withColumnRenamed("fact_type", "__said")), "body_hash", "left")
+    kind = F.when(F.col("fact_type_explicit"), F.col("fact_type")).otherwise(F.coalesce("__said", "fact_type"))
+    return joined.withColumn("fact_type", kind).select(facts.columns), fresh

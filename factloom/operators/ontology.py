@@ -46,12 +46,16 @@ def expanded_text(queries: DataFrame, terms: DataFrame, depth: int = 1) -> DataF
     return queries.join(found, "query_id", "left").select("query_id", F.concat_ws(" ", "text", F.array_join(F.col("more.token"), " ")).alias("text"))
 
 
-def cycles(terms: DataFrame) -> DataFrame:
-    """Edges among terms (as ns:term) that lie between cycles; none if there's no cycle."""
-    from factloom.operators.graph import cyclic_core
-
+def links(terms: DataFrame) -> DataFrame:
+    """(src, dst) among terms as ns:term; a bare target lies in its term's namespace."""
     targets = F.filter(F.concat(F.array("parent"), F.coalesce("related", F.array().cast("array<string>")), F.coalesce("equivalent", F.array().cast("array<string>"))), lambda x: x.isNotNull())
-    links = terms.where("term is not null").select("ns", "term", F.explode(targets).alias("t"))
+    rows = terms.where("term is not null").select("ns", "term", F.explode(targets).alias("t"))
     full = F.when(F.lower("t").contains(":"), F.lower("t")).otherwise(F.concat_ws(":", "ns", F.lower("t")))
-    return cyclic_core(links.select(F.concat_ws(":", "ns", "term").alias("src"), full.alias("dst")))
+    return rows.select(F.concat_ws(":", "ns", "term").alias("src"), full.alias("dst"))
+
+
+def cycles(terms: DataFrame) -> list[list[str]]:
+    """Cycles among terms, as ``graph.cycles`` gives them."""
+    from factloom.operators.graph import cycles as of
 
+    return of(links(terms))

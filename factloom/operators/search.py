@@ -16,37 +16,72 @@ K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "tags": 2.0, "keywords": 2.0, "domain_tags": 1.5, "body": 1.0, "id": 1.0}
 
 
-def postings(facts: DataFrame, key: str, fields) -> DataFrame:
-    """(field, token, key, tf, length): one pass that explodes all fields together."""
+def tokenised(facts: DataFrame, key: str, fields) -> DataFrame:
+    """(key, field, ts, length): a row for each field of each fact, from one scan."""
 
     def text(c: str) -> Column:
         return F.concat_ws(" ", c) if facts.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
 
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(text(c)).alias("ts")) for c in fields)))
-    rows = facts.select(F.col(key).alias("key"), each.alias("f")).select("key", "f.field", "f.ts")
-    rows = rows.select("key", "field", F.size("ts").alias("length"), F.explode("ts").alias("token"))
+    return facts.select(F.col(key).alias("key"), each.alias("f")).select("key", "f.field", "f.ts", F.size("f.ts").alias("length"))
+
+
+def postings(facts: DataFrame, key: str, fields, wanted: DataFrame | None = None) -> DataFrame:
+    """(field, token, key, tf, length); only of the wanted tokens (token), if given, which are then picked out before anything is shuffled."""
+    rows = tokenised(facts, key, fields).select("key", "field", "length", F.explode("ts").alias("token"))
+    if wanted is not None:
+        rows = rows.join(wanted, "token", "left_semi")
     return rows.groupBy("field", "token", "key", "length").agg(F.count("*").alias("tf"))
 
 
 def token_stats(post: DataFrame) -> DataFrame:
-    """(field, token, df, total)."""
+    """(field, token, df, total) of postings."""
     return post.groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
-def bm25(queries: DataFrame, facts: DataFrame, key: str, boosts: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, key, bm25) of all facts that share a token with a query; a token of the query counts once."""
-    boosts = boosts or BOOSTS
-    post = postings(facts, key, boosts)
-    stats = token_stats(post)
-    n = facts.agg(F.count("*").alias("n"))
-    sizes = post.groupBy("field").agg(F.sum("tf").alias("all"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    # one row for each field and one in all: their size doesn't depend on the data
-    hit = asked.join(post, "token").join(stats, ["field", "token"]).join(F.broadcast(sizes), "field").crossJoin(F.broadcast(n))
+def corpus_stats(facts: DataFrame, key: str, fields) -> DataFrame:
+    """(field, token, df, total), without postings: each fact's tokens and its distinct tokens are counted within the tasks, so what is shuffled follows the vocabulary."""
+    rows = tokenised(facts, key, fields)
+    ways = F.array(F.struct(F.array_distinct("ts").alias("ts"), F.lit(1).alias("d"), F.lit(0).alias("t")), F.struct(F.col("ts"), F.lit(0).alias("d"), F.lit(1).alias("t")))
+    rows = rows.select("field", F.explode(ways).alias("w")).select("field", F.explode("w.ts").alias("token"), "w.d", "w.t")
+    return rows.groupBy("field", "token").agg(F.sum("d").alias("df"), F.sum("t").alias("total"))
+
+
+def field_sizes(facts: DataFrame, key: str, fields) -> DataFrame:
+    """(field, all, n): tokens of all facts, and their number; a row for each field."""
+    rows = tokenised(facts, key, fields)
+    return rows.groupBy("field").agg(F.sum("length").alias("all"), F.count("*").alias("n"))
+
+
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """(query_id, token): each token of a query once."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+
+
+def score(asked: DataFrame, post: DataFrame, stats: DataFrame, sizes: DataFrame, boosts: dict[str, float]) -> DataFrame:
+    """(query_id, key, bm25) from postings, (field, token, df) and field sizes. asked: (query_id, token), and the only field to look in if there's a column for it."""
+    # a row for each field: their number doesn't depend on the data
+    weighed = post.join(stats.select("field", "token", "df"), ["field", "token"]).join(F.broadcast(sizes), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") * F.col("n") / F.col("all")))
     boost = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in boosts.items()))
-    return hit.groupBy("query_id", "key").agg(F.round(F.sum(boost * idf * norm), 6).alias("bm25"))
+    hit = asked.join(weighed.select("token", "field", "key", (boost * idf * norm).alias("part")), "token")
+    if "only" in asked.columns:
+        hit = hit.where("only is null or only = field")
+    return hit.groupBy("query_id", "key").agg(F.round(F.sum("part"), 6).alias("bm25"))
+
+
+def bm25(queries: DataFrame, facts: DataFrame, key: str, boosts: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, key, bm25) of all facts that share a token with a query; a token of the query counts once.
+
+    Without stored postings: facts are tokenised once for the postings of the
+    queries' tokens, which is all that is shuffled, and once for the fields' sizes.
+    """
+    boosts = boosts or BOOSTS
+    asked = asked_tokens(queries)
+    post = postings(facts, key, boosts, asked.select("token").distinct())
+    stats = post.groupBy("field", "token").agg(F.count("*").alias("df"))
+    return score(asked, post, stats, field_sizes(facts, key, boosts), boosts)
 
 
 def best(hits: DataFrame, score: str, k: int) -> DataFrame:
@@ -87,6 +122,24 @@ def search(queries: DataFrame, facts: DataFrame, now: Column, k: int = 10, least
     return thresholds(compound(found.join(own, "key"), now), least, gap).where(F.col("rank") <= k)
 
 
+def exact_lookup(queries: DataFrame, cached: DataFrame, generation: int, now: Column, seconds: int) -> DataFrame:
+    """(query_id, entry) of the queries whose text was asked before, the newest of several. cached: (entry, text, generation, at)."""
+    held = cached.where((F.col("generation") == generation) & (F.unix_timestamp(now) - F.unix_timestamp("at") <= seconds))
+    held = held.groupBy(F.md5("text").alias("mark")).agg(F.max_by("entry", F.struct("at", "entry")).alias("entry"))
+    return queries.select("query_id", F.md5("text").alias("mark")).join(held, "mark").select("query_id", "entry")
+
+
+def fuzzy_lookup(queries: DataFrame, cached: DataFrame, least: float, generation: int, now: Column, seconds: int) -> DataFrame:
+    """(query_id, entry, similarity) of the most similar text asked before, of equals the newest. Texts without tokens are alike."""
+    held = cached.where((F.col("generation") == generation) & (F.unix_timestamp(now) - F.unix_timestamp("at") <= seconds))
+    near = token_jaccard(queries.select(F.col("query_id").alias("id"), "text"), held.select(F.col("entry").alias("id"), "text"), least)
+    empty = [df.where(F.size(tokens("text")) == 0) for df in (queries, held)]
+    alike = empty[0].select(F.col("query_id").alias("left_id"), F.lit(True).alias("on")).join(empty[1].agg(F.max_by("entry", F.struct("at", "entry")).alias("right_id")).where("right_id is not null").withColumn("on", F.lit(True)), "on")
+    pairs = near.unionByName(alike.select("left_id", "right_id", F.lit(1.0).alias("similarity"))).join(held.select(F.col("entry").alias("right_id"), "at"), "right_id")
+    best = F.max_by(F.struct("right_id", "similarity"), F.struct("similarity", "at", "right_id")).alias("b")
+    return pairs.groupBy(F.col("left_id").alias("query_id")).agg(best).select("query_id", F.col("b.right_id").alias("entry"), "b.similarity")
+
+
 def token_jaccard(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left_id, right_id, similarity) of rows (id, text) whose token sets reach it: met by shared tokens, so no cross product."""
 
@@ -97,11 +150,15 @@ def token_jaccard(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return shared.select("left_id", "right_id", F.round(F.col("both") / (F.col("left_n") + F.col("right_n") - F.col("both")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def metrics(hits: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(tier, p3, r5, mrr) from ranked hits (query_id, key, rank) and judgements (query_id, tier, key)."""
-    judged = wanted.select("query_id", "tier", "key", F.lit(True).alias("good"))
-    all_ = wanted.groupBy("query_id", "tier").agg(F.count("*").alias("n"))
-    found = hits.join(judged.drop("tier"), ["query_id", "key"])
+def metrics(hits: DataFrame, wanted: DataFrame, unwanted: DataFrame | None = None) -> DataFrame:
+    """(tier, p3, r5, mrr, violations) from ranked hits (query_id, key, rank) and judgements (query_id, tier, key); violations counts the hits that are unwanted (query_id, key)."""
+    judged = wanted.select("query_id", "key", F.lit(True).alias("good")).distinct()
+    all_ = wanted.groupBy("query_id", "tier").agg(F.count_distinct("key").alias("n"))
+    found = hits.join(judged, ["query_id", "key"])
     own = found.groupBy("query_id").agg(F.sum((F.col("rank") <= 3).cast("int")).alias("in3"), F.sum((F.col("rank") <= 5).cast("int")).alias("in5"), F.min(F.when(F.col("rank") <= 5, F.col("rank"))).alias("first"))
     per = all_.join(own, "query_id", "left")
-    return per.groupBy("tier").agg(F.avg(F.coalesce("in3", F.lit(0)) / 3).alias("p3"), F.avg(F.coalesce("in5", F.lit(0)) / F.col("n")).alias("r5"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+    bad = F.lit(0).cast("long")
+    if unwanted is not None:
+        per = per.join(hits.join(unwanted.select("query_id", "key").distinct(), ["query_id", "key"], "left_semi").groupBy("query_id").agg(F.count("*").alias("bad")), "query_id", "left")
+        bad = F.coalesce("bad", F.lit(0))
+    return per.groupBy("tier").agg(F.avg(F.coalesce("in3", F.lit(0)) / 3).alias("p3"), F.avg(F.coalesce("in5", F.lit(0)) / F.col("n")).alias("r5"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), F.sum(bad).alias("violations"))

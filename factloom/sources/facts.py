@@ -8,9 +8,11 @@ Unreadable rows aren't dropped: they carry the reason in ``error``.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,15 @@ def split_header(text: str) -> tuple[str | None, str]:
     return (found[1], found[2]) if found else (None, text)
 
 
-def _parsed(text: str | None) -> tuple[str | None, str, str | None]:
+def _parsed(text: str | bytes | None) -> tuple[str | None, str, str | None]:
     """(header as JSON, body, error)."""
     import yaml
 
+    if isinstance(text, bytes):
+        try:
+            text = text.decode("utf-8")
+        except UnicodeDecodeError as error:
+            return None, "", f"encoding: {error.reason} at byte {error.start}"
     header, body = split_header(text or "")
     if header is None:
         return None, body, None
@@ -67,23 +74,87 @@ def _parsed(text: str | None) -> tuple[str | None, str, str | None]:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Validated facts of (source_path, content) rows."""
+    """Validated facts of (source_path, content) rows, the content as bytes or text. Bytes that aren't UTF-8 are that row's error."""
 
     def run(frames):
         for frame in frames:
             header, body, error = zip(*map(_parsed, frame["content"])) if len(frame) else ((), (), ())
-            yield pd.DataFrame({"source_path": frame["source_path"], "header": header, "body": body, "error": error})
+            yield pd.DataFrame({"source_path": frame["source_path"], "bytes": frame["bytes"], "header": header, "body": body, "error": error})
 
-    rows = files.select("source_path", "content").mapInPandas(run, "source_path string, header string, body string, error string")
+    rows = files.select("source_path", "content", F.sha2(F.col("content").cast("binary"), 256).alias("bytes"))
+    rows = rows.mapInPandas(run, "source_path string, bytes string, header string, body string, error string")
     raw = F.from_json(F.coalesce("header", F.lit("{}")), RAW)
-    return validate(rows.select("source_path", "body", F.col("error").alias("parse_error"), F.col("header").isNull().alias("bare"), raw.alias("h")).select("source_path", "body", "parse_error", "bare", "h.*"))
+    return validate(rows.select("source_path", "bytes", "body", F.col("error").alias("parse_error"), F.col("header").isNull().alias("bare"), raw.alias("h")).select("source_path", "bytes", "body", "parse_error", "bare", "h.*"))
+
+
+def _walk(fs, folder: str, deep: bool) -> list[tuple[str, int, bool]]:
+    """(path, time of change in microseconds, whether a folder) of a folder's Markdown files and, unless all below is asked for, its folders; hidden ones are left out."""
+    out = []
+    folders = [folder]
+    while folders:
+        try:
+            found = fs.get_file_info(pafs.FileSelector(folders.pop()))
+        except OSError:
+            if not out and not deep:
+                raise
+            continue  # what can't be read is skipped
+        for x in found:
+            if x.base_name.startswith("."):
+                continue
+            if x.type == pafs.FileType.Directory:
+                folders.append(x.path) if deep else out.append((x.path, 0, True))
+            elif x.type == pafs.FileType.File and x.base_name.endswith(".md"):
+                out.append((x.path, int((x.mtime_ns or 0) // 1000), False))
+    return out
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(source_path, mtime) of all ``.md`` files below root but for hidden files and folders; root itself may lie in a hidden one.
+
+    The root is listed here, what lies below each of its folders by the tasks. (Spark's
+    own listing would leave out names that begin with an underline.)
+    """
+    fs, path = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), os.path.abspath(root))
+    top = _walk(fs, path, deep=False)
+    files = spark.createDataFrame([(p, t) for p, t, folder in top if not folder], "source_path string, mtime long")
+
+    def below(frames):
+        own = pafs.FileSystem.from_uri(root)[0] if "://" in root else pafs.LocalFileSystem()
+        for frame in frames:
+            for folder in frame["folder"]:
+                found = _walk(own, folder, deep=True)
+                yield pd.DataFrame({"source_path": [x[0] for x in found], "mtime": pd.Series([x[1] for x in found], dtype="int64")})
+
+    folders = [(p,) for p, _, folder in top if folder]
+    if not folders:
+        return files
+    rows = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 10 * spark.sparkContext.defaultParallelism))
+    return files.unionAll(rows.mapInPandas(below, "source_path string, mtime long"))
+
+
+def read_contents(files: DataFrame, root: str) -> DataFrame:
+    """The files with their content, as bytes; null where a file has gone since."""
+
+    def run(frames):
+        fs = pafs.FileSystem.from_uri(root)[0] if "://" in root else pafs.LocalFileSystem()
+        for frame in frames:
+            for lo in range(0, len(frame), 256):
+                own = frame.iloc[lo : lo + 256]
+                content = []
+                for path in own["source_path"]:
+                    try:
+                        with fs.open_input_stream(path) as f:
+                            content.append(f.read())
+                    except OSError:
+                        content.append(None)
+                yield own.assign(content=content)
+
+    return files.select("source_path", "mtime").mapInPandas(run, "source_path string, mtime long, content binary")
 
 
 def read_facts(spark: SparkSession, root: str) -> DataFrame:
-    """All ``.md`` files below root, but for hidden files and folders."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").format("binaryFile").load(root)
-    files = files.select(F.col("path").alias("source_path"), F.decode("content", "UTF-8").alias("content"))
-    return parse(files.where(~F.col("source_path").rlike(r"/\.(?!brv/)[^/]*")))
+    """Validated facts of all files below root."""
+    return parse(read_contents(list_files(spark, root), root).where("content is not null"))
 
 
 def _time(c: str):
@@ -134,7 +205,7 @@ def validate(raw: DataFrame) -> DataFrame:
         F.when(explicit, kind).otherwise("durable").alias("fact_type"),
         explicit.alias("fact_type_explicit"),
         "event_sequence",
-        F.sha2(F.concat_ws("\n", "title", "body"), 256).alias("content_hash"),
+        F.col("bytes").alias("content_hash"),
         warnings.alias("warnings"),
         error.alias("error"),
     )
