@@ -42,7 +42,7 @@ from factloom.llm import kernels as K
 MODEL_PATH = os.environ.get("FACTLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 #: Bytes of text segmented at once.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Words of more characters are cut, where no piece spans the seam, into parts that are segmented as words are.
 LONG = 24
 _AT_ONCE = 1 << 17
@@ -363,7 +363,7 @@ def encode(p: Pieces, texts: pa.Array, seen: Words | None = None) -> tuple[np.nd
 class Words:
     """The words that a task has segmented, known by their hashes: so many at most, then it begins anew."""
 
-    MOST = 1 << 18
+    MOST = 1 << 19
 
     def __init__(self):
         self.clear()
