@@ -9,6 +9,10 @@ candidates, and those whose token sequences have an edit similarity
 1 - distance / longer length of SIMILARITY or more, found by an alignment within
 a band that the threshold gives, are linked. Groups are connected components.
 
+Candidates whose tokens, counted by classes of hashes, differ by more than the
+threshold's number of edits are dropped before their texts are fetched; that
+bound is exact.
+
 Texts with the same token sequence are collapsed first. Of the documents that
 share a sketch, first all are compared with the smallest id; then, in order to
 lose no link, all pairs that aren't in the same component by then. Hence no
@@ -109,8 +113,50 @@ def sequence_hash(t: K_.Tokens) -> np.ndarray:
     return K_.span_hash(K_.prefix_sums(t.h), t.first[:-1], t.first[1:])
 
 
+#: A text of less than LONG_TEXT tokens counts them in BAG classes of hashes, a longer one in eight times as many.
+BAG, LONG_TEXT = 128, 1024
+
+
+def bags(t: K_.Tokens) -> list[bytes]:
+    """How many tokens of each class every text has."""
+    out: list[bytes] = []
+    size = np.diff(t.first)
+    for lo in range(0, len(size), 2048):
+        n = min(2048, len(size) - lo)
+        own = slice(t.first[lo], t.first[lo + n])
+        counts = np.bincount((t.doc[own] - lo) * BAG + (t.h[own] & np.uint64(BAG - 1)).astype(np.int64), minlength=n * BAG).reshape(n, BAG)
+        out += [row.tobytes() for row in counts.astype("<u2")]
+    for i in np.flatnonzero(size >= LONG_TEXT):
+        h = t.h[t.first[i] : t.first[i + 1]] & np.uint64(8 * BAG - 1)
+        out[i] = np.bincount(h.astype(np.int64), minlength=8 * BAG).astype("<u4").tobytes()
+    return out
+
+
+def bag(blob: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * BAG else "<u4").astype(np.int64)
+
+
+def plausible(pairs: DataFrame, bagged: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that may be similar: of tokens of some class that a side has more of than the other, each costs an edit. bagged: (id, bag)."""
+
+    def run(batches):
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                x, y = bag(x.as_buffer()), bag(y.as_buffer())
+                most = np.floor((1 - similarity) * max(x.sum(), y.sum()) + 1e-9)
+                if len(x) != len(y):
+                    x, y = x.reshape(-1, BAG).sum(axis=0), y.reshape(-1, BAG).sum(axis=0)
+                d = x - y
+                ok[k] = max(d[d > 0].sum(), -d[d < 0].sum()) <= most
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    x, y = (bagged.select(F.col("id").alias(a), F.col("bag").alias(b)) for a, b in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def signatures(documents: DataFrame, k: int, length: int, count: int) -> DataFrame:
-    """(doc_id, pick, whole, size, sketches) of the documents with an id and tokens."""
+    """(doc_id, pick, whole, size, sketches, bag) of the documents with an id and tokens."""
 
     def run(batches):
         for batch in batches:
@@ -119,9 +165,10 @@ def signatures(documents: DataFrame, k: int, length: int, count: int) -> DataFra
                 own = sketches(*sequences(t, k), length, count)
                 some = np.flatnonzero(np.diff(t.first))
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * count).astype(np.int32)), pa.array(own[some].view(np.int64).ravel()))
-                yield pa.record_batch([part.column("doc_id").take(pa.array(some)), part.column("pick").take(pa.array(some)), pa.array(sequence_hash(t)[some].view(np.int64)), pa.array(np.diff(t.first)[some]), lists], ["doc_id", "pick", "whole", "size", "sketches"])
+                counted = bags(t)
+                yield pa.record_batch([part.column("doc_id").take(pa.array(some)), part.column("pick").take(pa.array(some)), pa.array(sequence_hash(t)[some].view(np.int64)), pa.array(np.diff(t.first)[some]), lists, pa.array([counted[i] for i in some], pa.binary())], ["doc_id", "pick", "whole", "size", "sketches", "bag"])
 
-    return documents.mapInArrow(run, "doc_id long, pick long, whole long, size long, sketches array<long>")
+    return documents.mapInArrow(run, "doc_id long, pick long, whole long, size long, sketches array<long>, bag binary")
 
 
 def strip_common(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,21 +296,29 @@ def groups(documents: DataFrame, similarity: float = SIMILARITY, k: int = K, len
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     docs = docs.withColumn("pick", F.xxhash64("text"))
     signed = cut(signatures(docs, k, length, count))
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("pick", "whole", "size", "sketches")).alias("s")).select("doc_id", "s.*")
-    same = cut(one.groupBy("whole").agg(F.min(F.struct("doc_id", "size", "sketches")).alias("r"), F.count("*").alias("n")))
+    one = signed.groupBy("doc_id").agg(F.min(F.struct("pick", "whole", "size", "sketches", "bag")).alias("s")).select("doc_id", "s.*")
+    same = cut(one.groupBy("whole").agg(F.min(F.struct("doc_id", "size", "sketches", "bag")).alias("r"), F.count("*").alias("n")))
     keyed = same.select(F.struct(F.col("r.doc_id").alias("id"), F.col("r.size").alias("size"), "whole").alias("d"), F.explode("r.sketches").alias("key"))
     marks = [F.bit_xor(F.xxhash64("d.id", F.lit(seed))).alias(f"x{seed}") for seed in (0, 1)]
     keys = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("d").alias("p"), *marks).where("m > 1")
     # equal sets of members, as near-equal copies have, count once; they're known by their number, smallest member and 128 bits of hash
     keys = keys.groupBy("m", "p", "x0", "x1").agg(F.min("key").alias("key")).select("key", "p")
     members = cut(keyed.join(keys, "key").select("key", "p", F.col("d").alias("q")))
-    texts = cut(texts_of(docs, members.select("q.id", "q.whole").distinct()))
+    bagged = same.select(F.col("r.doc_id").alias("id"), F.col("r.bag").alias("bag"))
 
     def near(a: str, b: str):
         return F.expr(f"least({a}.size, {b}.size) >= {similarity} * greatest({a}.size, {b}.size)")
 
     stars = members.where("p.id <> q.id").where(near("p", "q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    links = cut(verified(stars, texts, similarity))
+    stars = cut(plausible(stars, bagged, similarity))
+    named = same.select(F.col("r.doc_id").alias("id"), "whole")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The similar ones of plausible pairs; only their texts are fetched."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(named, "id")
+        return cut(verified(pairs, cut(texts_of(docs, wanted)), similarity))
+
+    links = checked(stars)
     roots = components(links)
 
     # the pairs of a bucket that the first comparisons leave apart
@@ -273,7 +328,7 @@ def groups(documents: DataFrame, similarity: float = SIMILARITY, k: int = K, len
     sides = [seen.select("key", F.col("q").alias(side), F.col("root").alias(f"root_{side}")) for side in "xy"]
     rest = sides[0].join(sides[1], "key").where("x.id < y.id and root_x <> root_y").where(near("x", "y"))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(verified(rest, texts, similarity))
+    more = checked(cut(plausible(rest, bagged, similarity)))
     if not more.isEmpty():
         roots = components(links.union(more))
     ids = signed.groupBy("doc_id").agg(F.min(F.struct("pick", "whole")).alias("s")).select("doc_id", "s.whole")
