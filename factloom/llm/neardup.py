@@ -17,8 +17,12 @@ Texts with the same token sequence are collapsed first. Of the documents that
 share a sketch, first all are compared with the smallest id; then, in order to
 lose no link, all pairs that aren't in the same component by then. Hence no
 limit on the size of a bucket, and thousands of copies cost thousands of
-comparisons, not millions. Buckets are met by joins on the sketch, which Spark
-splits where one is hot; none is gathered into a row.
+comparisons, not millions. Where more than FEW documents of a bucket lie outside
+its largest component, as where unlike texts share a line, only those meet that
+also share one of their rarest tokens: with at most e edits, e + 1 tokens of
+each can't all be missing from the other. That is exact too, whatever order the
+tokens are put in; theirs is by how many such documents have them. Buckets are
+met by joins, which Spark splits where one is hot; none is gathered into a row.
 
 Defined results: null texts and texts without tokens are in no group, nor are
 rows without id. Of rows with the same id, the one whose text's hash is smallest
@@ -46,6 +50,10 @@ LENGTH = 2
 SKETCHES = 40
 SIMILARITY = 0.75
 FILTER_BITS = 22
+#: Documents of a bucket outside its largest component that all its documents are compared with directly.
+FEW = 32
+#: Tokens are counted, to tell rare ones, in 2**RARE_BITS classes of hashes.
+RARE_BITS = 20
 _EDGE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -139,17 +147,25 @@ def bag(blob: pa.Buffer) -> np.ndarray:
 def plausible(pairs: DataFrame, bagged: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that may be similar: of tokens of some class that a side has more of than the other, each costs an edit. bagged: (id, bag)."""
 
+    def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        most = np.floor((1 - similarity) * np.maximum(x.sum(axis=1), y.sum(axis=1)) + 1e-9)
+        d = x - y
+        return np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most
+
     def run(batches):
         for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = bag(x.as_buffer()), bag(y.as_buffer())
-                most = np.floor((1 - similarity) * max(x.sum(), y.sum()) + 1e-9)
-                if len(x) != len(y):
-                    x, y = x.reshape(-1, BAG).sum(axis=0), y.reshape(-1, BAG).sum(axis=0)
-                d = x - y
-                ok[k] = max(d[d > 0].sum(), -d[d < 0].sum()) <= most
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                short = pc.and_(*(pc.equal(pc.binary_length(part.column(c)), 2 * BAG) for c in ("x", "y"))).to_numpy(zero_copy_only=False)
+                ok = np.ones(part.num_rows, bool)
+                sides = (part.column(c).filter(pa.array(short)) for c in ("x", "y"))
+                ok[short] = possible(*(np.frombuffer(b"".join(side.to_pylist()), "<u2").reshape(-1, BAG).astype(np.int32) for side in sides))
+                for k in np.flatnonzero(~short):
+                    x, y = (bag(part.column(c)[int(k)].as_buffer()) for c in ("x", "y"))
+                    if len(x) != len(y):
+                        x, y = x.reshape(-1, BAG).sum(axis=0), y.reshape(-1, BAG).sum(axis=0)
+                    ok[k] = possible(x[None], y[None])[0]
+                yield part.select(["a", "b"]).filter(pa.array(ok))
 
     x, y = (bagged.select(F.col("id").alias(a), F.col("bag").alias(b)) for a, b in (("a", "x"), ("b", "y")))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -230,19 +246,20 @@ def similar(xs: list[np.ndarray], ys: list[np.ndarray], similarity: float) -> np
     most = np.array([int(np.floor((1 - similarity) * max(len(x), len(y)) + 1e-9)) for x, y in zip(xs, ys)], np.int64)
     left = []
     short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    least: dict[int, int] = {}
     for p, (x, y) in enumerate(zip(xs, ys)):
         if abs(len(x) - len(y)) > most[p]:
             continue
         x, y = strip_common(x, y)
         if not len(x) or not len(y):
             ok[p] = max(len(x), len(y)) <= most[p]
-        elif bag_distance(x, y) <= most[p]:
-            short[p] = (x, y)
+        elif (d := bag_distance(x, y)) <= most[p]:
+            short[p], least[p] = (x, y), d
             left.append(p)
     h = 16
     while left:
-        left.sort(key=lambda p: len(short[p][0]))
-        again = []
+        again = [p for p in left if least[p] > h]
+        left = sorted((p for p in left if least[p] <= h), key=lambda p: len(short[p][0]))
         size = max(1, (1 << 15) // (2 * h + 1))
         for k in range(0, len(left), size):
             own = left[k : k + size]
@@ -252,7 +269,7 @@ def similar(xs: list[np.ndarray], ys: list[np.ndarray], similarity: float) -> np
                     ok[p] = far <= most[p]
                 elif h < most[p]:
                     again.append(p)
-        left, h = again, 4 * h
+        left, h = again, min(4 * h, max([most[p] for p in again], default=h))
     return ok
 
 
@@ -291,6 +308,52 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def rarest(t: K_.Tokens, level: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first of each text): of each text one token more than it may lose, those of the lowest level, by number of occurrence."""
+    size = np.diff(t.first)
+    own, _ = sequences(t, 1)
+    order = np.lexsort((own, level[(t.h & np.uint64((1 << RARE_BITS) - 1)).astype(np.int64)], t.doc))
+    n = np.minimum(size, np.floor((1 - similarity) * size + 1e-9).astype(np.int64) + 1)
+    return own[order[K_.ragged(t.first[:-1], n)]], np.append(0, np.cumsum(n))
+
+
+def rare_tokens(texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, tokens) of (id, text): of each text so many of its rarest tokens that similar ones share one of theirs."""
+    slots = 1 << RARE_BITS
+
+    def count(batches):
+        for batch in batches:
+            for part in K_.chunks(batch):
+                slot, n = np.unique((K_.tokenise(part.column("text")).h & np.uint64(slots - 1)).astype(np.int32), return_counts=True)
+                yield pa.record_batch([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(slots, np.uint8)
+    level[counted["slot"].to_numpy()] = np.log2(counted["n"].to_numpy()) * 6
+
+    def run(batches):
+        for batch in batches:
+            for part in K_.chunks(batch):
+                own, first = rarest(K_.tokenise(part.column("text")), level, similarity)
+                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(own.view(np.int64)))], ["id", "tokens"])
+
+    return texts.mapInArrow(run, "id long, tokens array<long>")
+
+
+def outside(seen: DataFrame) -> DataFrame:
+    """(key, main, strays) of the keys whose members (key, id, root) have several roots: the commonest, and how many members have others."""
+    own = seen.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top"))
+    return own.where("m > top.n").select("key", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("strays"))
+
+
+def across(seen: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: members (key, id, size, root, main) of a key with different roots and near sizes. Those of the commonest root don't meet each other."""
+    x, y = (seen.select("key", "main", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "root"))) for side in "xy")
+    pairs = x.where("root_x <> main").join(y.drop("main"), "key").where("root_x <> root_y and (root_y = main or id_x < id_y)")
+    pairs = pairs.where(f"least(size_x, size_y) >= {similarity} * greatest(size_x, size_y)")
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def groups(documents: DataFrame, similarity: float = SIMILARITY, k: int = K, length: int = LENGTH, count: int = SKETCHES) -> DataFrame:
     """(doc_id, group_id) of every document in a group of two or more; group_id is the group's smallest id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -322,12 +385,16 @@ def groups(documents: DataFrame, similarity: float = SIMILARITY, k: int = K, len
     roots = components(links)
 
     # the pairs of a bucket that the first comparisons leave apart
-    seen = members.select("key", "q").join(roots, F.col("q.id") == F.col("node"), "left").select("key", "q", F.coalesce("root", "q.id").alias("root"))
-    mixed = seen.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    seen = seen.join(mixed, "key", "left_semi")
-    sides = [seen.select("key", F.col("q").alias(side), F.col("root").alias(f"root_{side}")) for side in "xy"]
-    rest = sides[0].join(sides[1], "key").where("x.id < y.id and root_x <> root_y").where(near("x", "y"))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    seen = members.select("key", "q.*").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "size", "whole", F.coalesce("root", "id").alias("root"))
+    seen = cut(seen.join(outside(seen), "key"))
+    rest = across(seen.where(F.col("strays") <= FEW), similarity)
+    many = seen.where(F.col("strays") > FEW)
+    if not many.isEmpty():
+        rare = rare_tokens(cut(texts_of(docs, many.select("id", "whole").distinct())), similarity)
+        spread = many.join(rare, "id").select("key", "id", "size", "root", F.explode("tokens").alias("token"))
+        spread = spread.select(F.xxhash64("key", "token").alias("key"), "id", "size", "root")
+        rest = rest.union(across(spread.join(outside(spread), "key"), similarity)).distinct()
+    rest = rest.join(stars, ["a", "b"], "left_anti")
     more = checked(cut(plausible(rest, bagged, similarity)))
     if not more.isEmpty():
         roots = components(links.union(more))

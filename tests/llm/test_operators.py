@@ -435,6 +435,43 @@ def test_near_duplicates_in_hot_buckets(spark):
     assert got == due
 
 
+def test_near_duplicates_that_share_a_line(spark, monkeypatch):
+    """Unlike texts with a line in common aren't compared all with all, and near ones among them are found."""
+    rng = random.Random(23)
+    line = [f"l{n}" for n in range(16)]
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(20)] for _ in range(600)]
+    for n in range(20):
+        own.append(list(own[30 * n]))
+        for at in rng.sample(range(20), 4):
+            own[-1][at] = f"v{rng.randrange(10**6)}"
+    texts = [(n, " ".join(line + x)) for n, x in enumerate(own)]
+    compared = []
+    plausible = neardup.plausible
+    monkeypatch.setattr(neardup, "plausible", lambda pairs, *rest: compared.append(pairs.count()) or plausible(pairs, *rest))
+    got = {r["doc_id"]: r["group_id"] for r in neardup.groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: 30 * n for n in range(20) for i in (30 * n, 600 + n)}
+    assert sum(compared) < 10_000  # of 192 510 pairs
+
+
+def test_similar_texts_share_one_of_their_rarest_tokens():
+    from factloom.llm import kernels
+
+    rng = np.random.default_rng(4)
+    level = rng.integers(0, 3, 1 << neardup.RARE_BITS).astype(np.uint8)
+    for n in (1, 3, 4, 9, 40):
+        for _ in range(30):
+            x = [f"t{k}" for k in rng.integers(0, n, n)]
+            y = list(x)
+            for _ in range(n // 4):
+                kind, at = rng.integers(0, 3), int(rng.integers(0, len(y)))
+                y[at : at + (kind > 0)] = [] if kind == 2 and len(y) > 1 else [f"u{rng.integers(0, 99)}"]
+            t = kernels.tokenise(pa.array([" ".join(x), "", " ".join(y)]))
+            own, first = neardup.rarest(t, level, neardup.SIMILARITY)
+            assert first.tolist()[:3] == [0, n // 4 + 1, n // 4 + 1]
+            if brute.edit_distance(x, y) <= max(len(x), len(y)) // 4:
+                assert set(own[: first[1]].tolist()) & set(own[first[2] :].tolist())
+
+
 def test_near_duplicates(docs, empty):
     due = brute.near_groups({i: t for i, t in plain().items() if i not in (9, 10)}, neardup.SIMILARITY)
     got = {r["doc_id"]: r["group_id"] for r in neardup.groups(docs).collect()}
