@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 A text is cut into words, each a run of word marks with what follows, and each
-distinct word of a chunk is segmented once. Words of equal length advance
-together: at each place, for each piece length, the hash of the substring that
+distinct word of a chunk is segmented once. Many words advance together, the
+longest first, so that those that have ended drop off: at each place, for each piece length, the hash of the substring that
 ends there is looked up among the sorted hashes of the pieces; a candidate
 counts if it may follow the best piece of the prefix before it; the maximum over
 the lengths is stored as the backpointer.
@@ -237,35 +237,37 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def viterbi(p: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(last pieces, backpointers) at every place of words of equal length, a row of code points each."""
-    n, length = words.shape
-    prefix = np.zeros((n, length + 1), np.uint64)
+def viterbi(p: Pieces, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last pieces, backpointers) at every place of words, a column of code points each; the longest come first, and what lies below a word's end doesn't count."""
+    length, n = words.shape
+    prefix = np.zeros((length + 1, n), np.uint64)
     base = np.uint64(_BASE)
     for i in range(length):
-        prefix[:, i + 1] = prefix[:, i] * base + words[:, i] + np.uint64(1)
-    best = np.full((n, length + 1), -np.inf)
-    best[:, 0] = 0
-    last = np.full((n, length + 1), -1, np.int64)
-    back = np.zeros((n, length + 1), np.int64)
+        prefix[i + 1] = prefix[i] * base + words[i] + np.uint64(1)
+    best = np.full((length + 1, n), -np.inf)
+    best[0] = 0
+    last = np.full((length + 1, n), -1, np.int64)
+    back = np.zeros((length + 1, n), np.int64)
     least = p.score.min() - 1e10
+    reach = np.searchsorted(-lengths, -np.arange(length + 1), side="right")  # words of so many characters at least
     for i in range(1, length + 1):
+        m = reach[i]
         for size in range(1, min(i, p.longest) + 1):
             j = i - size
-            piece = p.find(prefix[:, i] - prefix[:, j] * p.power[size])
+            piece = p.find(prefix[i, :m] - prefix[j, :m] * p.power[size])
             if size == 1:
                 piece = np.where(piece < 0, p.unknown, piece)
-            at = np.flatnonzero((piece >= 0) & (best[:, j] > -np.inf))
+            at = np.flatnonzero((piece >= 0) & (best[j, :m] > -np.inf))
             own = piece[at]
             if p.merges:
-                at = at[p.may_follow(last[at, j], own)]
+                at = at[p.may_follow(last[j, at], own)]
                 own = piece[at]
                 value = np.full(len(at), float(size))
             else:
-                value = best[at, j] + np.where(own == p.unknown, least, p.score[np.minimum(own, len(p.score) - 1)])
-            better = value > best[at, i]
+                value = best[j, at] + np.where(own == p.unknown, least, p.score[np.minimum(own, len(p.score) - 1)])
+            better = value > best[i, at]
             at, own = at[better], own[better]
-            best[at, i], last[at, i], back[at, i] = value[better], own, j
+            best[i, at], last[i, at], back[i, at] = value[better], own, j
     return last, back
 
 
@@ -308,29 +310,27 @@ def segment(p: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, lengths, word_of = seams(p, codes, np.cumsum(lengths) - lengths, lengths)
     counts = np.zeros(len(words), np.int64)
     found = []
-    order = np.argsort(lengths, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
-        length = int(lengths[group[0]])
-        if not length:
-            continue
-        rows = max(1, (1 << 17) // length)
-        for k in range(0, len(group), rows):
-            own = group[k : k + rows]
-            chars = codes[starts[own][:, None] + np.arange(length)].astype(np.uint64)
-            last, back = viterbi(p, chars)
-            at = np.full(len(own), length)
-            live = np.arange(len(own))
-            step = 0
-            while len(live):
-                piece, j = last[live, at[live]], back[live, at[live]]
-                whole = piece != p.unknown
-                found.append((own[live[whole]], np.full(int(whole.sum()), step), piece[whole]))
-                for w, i in zip(live[~whole].tolist(), at[live[~whole]].tolist()):
-                    raw = chr(int(chars[w, i - 1])).encode("utf-8", "replace")
-                    found.append((np.full(len(raw), own[w]), step + np.arange(len(raw))[::-1] / 8, p.byte_ids[list(raw)].astype(np.int64)))
-                at[live] = j
-                live = live[j > 0]
-                step += 1
+    order = np.argsort(-lengths, kind="stable")[: np.count_nonzero(lengths)]
+    k = 0
+    while k < len(order):
+        length = int(lengths[order[k]])
+        own = order[k : k + max(1, (1 << 17) // length)]
+        k += len(own)
+        chars = codes[np.minimum(starts[own] + np.arange(length)[:, None], len(codes) - 1)].astype(np.uint64)
+        last, back = viterbi(p, chars, lengths[own])
+        at = lengths[own].copy()
+        live = np.arange(len(own))
+        step = 0
+        while len(live):
+            piece, j = last[at[live], live], back[at[live], live]
+            whole = piece != p.unknown
+            found.append((own[live[whole]], np.full(int(whole.sum()), step), piece[whole]))
+            for w, i in zip(live[~whole].tolist(), at[live[~whole]].tolist()):
+                raw = chr(int(chars[i - 1, w])).encode("utf-8", "replace")
+                found.append((np.full(len(raw), own[w]), step + np.arange(len(raw))[::-1] / 8, p.byte_ids[list(raw)].astype(np.int64)))
+            at[live] = j
+            live = live[j > 0]
+            step += 1
     if not found:
         return np.zeros(0, np.int32), counts
     part, step, piece = (np.concatenate(x) for x in zip(*found))

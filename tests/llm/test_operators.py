@@ -360,6 +360,20 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.nearest(df.where("vec_id = 7"), every=1).count() == 0
 
 
+def test_sentencepiece_words_of_all_lengths_advance_together(monkeypatch):
+    import sentencepiece
+
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choice("aeinorst\u00e9\U0001f642") for _ in range(n)) for n in rng.sample(range(1, 31), 30)) for _ in range(20)]
+    calls = []
+    viterbi = sentencepieces.viterbi
+    monkeypatch.setattr(sentencepieces, "viterbi", lambda *args: calls.append(1) or viterbi(*args))
+    ids, counts = sentencepieces.encode(sentencepieces.pieces(sentencepieces.MODEL_PATH), pa.array(texts))
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL_PATH)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [model.encode(t) for t in texts]
+    assert len(calls) == 1
+
+
 def test_sentencepiece_long_words():
     import time
 
