@@ -24,7 +24,7 @@ def tokens(c: Column | str) -> Column:
 def signal(c: Column | str, phrases) -> Column:
     """Whether a text has one of the phrases: those with a blank anywhere, single words as whole tokens without punctuation."""
     low = F.lower(F.coalesce(column(c), F.lit("")))
-    words = F.transform(F.split(low, r"\s+"), lambda w: F.regexp_replace(w, _EDGES, ""))
+    words = F.transform(F.split(low, r"[ \t\n\r\f]+"), lambda w: F.regexp_replace(w, _EDGES, ""))
     found = F.lit(False)
     single = [p for p in phrases if " " not in p]
     if single:

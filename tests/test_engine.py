@@ -52,6 +52,15 @@ def test_text_functions(spark):
     assert got[5][:3] == ["the", "db", "was"]
 
 
+def test_fact_types_of_odd_texts(spark, tmp_path):
+    """Letters beyond ASCII at the edges of dates, a vertical tab between words, the dotted capital I."""
+    edges = [f"{a}{w}{b}" for w in ("in march 2024", "on may 5", "2024-01-02", "quota") for a, b in (("é", ""), ("", "é"), ("xé", " y"), ("\v", ""), ("Σ", "ß"), ("_", ""))]
+    rows = [(n, t, "web" if n % 2 else None) for n, t in enumerate([*edges, "must\vnot", "in m\u0130rch 2024", "\u0130S LIVE", "", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert_same(QUERIES["fact_types"](spark, str(tmp_path)), ORACLE_SQL["fact_types"], str(tmp_path))
+
+
 def write(root, name: str, header: str | None, body: str):
     path = root / name
     path.parent.mkdir(parents=True, exist_ok=True)
