@@ -420,6 +420,12 @@ def test_last_hop(spark, monkeypatch):
         assert len(got) == len(want) and {(r["src"], r["node"]): tuple(r["path"]) for r in got} == want and all(r["hops"] == len(r["path"]) - 1 for r in got)
         assert sorted(map(tuple, graph.reachable(sources, edge, hops).collect())) == sorted((*k, len(v) - 1) for k, v in want.items() if len(v) > 1)
         assert not any("hops" in df.columns and df.where(F.col("hops") == hops).count() for df in stored)
+    ids = spark.createDataFrame(sorted({(n,) for e in edges for n in e} | {("zz",)}), "id string")
+    del stored[:]
+    pairs = spark.createDataFrame([(f"a{n}", f"b{n}") for n in range(40)] + [("h1", "a0"), ("b0", "b9"), ("b0", "b0"), ("zz", "a0")], "src string, node string")
+    paths = plain_paths(edges, {a for a, _ in edges} | {"zz"}, 2)
+    assert {(r[0], r[1]): round(r[2], 4) for r in graph.adjacency(pairs, ids, edge.union(spark.createDataFrame([("q", f"b{n}") for n in range(9)], edge.schema)), 2).collect()} == {(a, b): round(0.7 ** (len(paths[a, b]) - 1), 4) if (a, b) in paths else 0.0 for a, b in map(tuple, pairs.collect())}
+    assert sum(df.count() for df in stored) < 400
 
 
 def test_graph(spark):
