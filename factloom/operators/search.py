@@ -7,6 +7,11 @@ of each query are taken by a window over that query's matches alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +21,14 @@ K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "tags": 2.0, "keywords": 2.0, "domain_tags": 1.5, "body": 1.0, "id": 1.0}
 
 
+def field_text(facts: DataFrame, c: str) -> Column:
+    return F.concat_ws(" ", c) if facts.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
+
+
 def tokenised(facts: DataFrame, key: str, fields) -> DataFrame:
     """(key, field, ts, length): a row for each field of each fact, from one scan."""
 
-    def text(c: str) -> Column:
-        return F.concat_ws(" ", c) if facts.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
-
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(text(c)).alias("ts")) for c in fields)))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), tokens(field_text(facts, c)).alias("ts")) for c in fields)))
     return facts.select(F.col(key).alias("key"), each.alias("f")).select("key", "f.field", "f.ts", F.size("f.ts").alias("length"))
 
 
@@ -71,19 +77,110 @@ def score(asked: DataFrame, post: DataFrame, stats: DataFrame, sizes: DataFrame,
     return hit.groupBy("query_id", "key").agg(F.round(F.sum("part"), 6).alias("bm25"))
 
 
-def bm25(queries: DataFrame, facts: DataFrame, key: str, boosts: dict[str, float] | None = None) -> DataFrame:
+#: (query, token) pairs that travel to the tasks, at most; beyond that, postings are joined. Scores at once, in a task.
+MOST_ASKED, SCORES = 200_000, 2_000_000
+
+
+def bm25(queries: DataFrame, facts: DataFrame, key: str, boosts: dict[str, float] | None = None, most: int = 0) -> DataFrame:
     """(query_id, key, bm25) of all facts that share a token with a query; a token of the query counts once.
 
     Without stored postings: facts are tokenised once for the postings of the
     queries' tokens, which is all that is shuffled, and once for the fields' sizes.
+    Where only the so many best of each query are needed (most), only these leave
+    a task, unless facts share a key, whose scores are sums over tasks.
     """
     boosts = boosts or BOOSTS
     asked = asked_tokens(queries)
+    if most and min(boosts.values()) > 0:
+        pairs = asked.limit(MOST_ASKED + 1).toArrow()
+        if 0 < pairs.num_rows <= MOST_ASKED and facts.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return _local_best(pairs, asked, facts, key, boosts, most)
     post = postings(facts, key, boosts, asked.select("token").distinct())
     stats = post.groupBy("field", "token").agg(F.count("*").alias("df"))
     return score(asked, post, stats, field_sizes(facts, key, boosts), boosts)
 
 
+def _local_best(pairs: pa.Table, asked: DataFrame, facts: DataFrame, key: str, boosts: dict[str, float], most: int) -> DataFrame:
+    """bm25() of facts with different keys: the best of each query within each task."""
+    wanted = pairs["token"].combine_chunks().unique()
+    # an empty token, which no text has, stands for the fact itself
+    rows = tokenised(facts, key, boosts).select("field", "length", F.explode(F.array_union(F.array_distinct("ts"), F.array(F.lit("")))).alias("token"))
+    known = F.broadcast(facts.sparkSession.createDataFrame([(t,) for t in ["", *wanted.to_pylist()]], "token string"))
+    stats = rows.join(known, "token", "left_semi").groupBy("field", "token").agg(F.count("*").alias("df"), F.sum("length").alias("all")).collect()
+    n, all_ = ({r["field"]: r[c] for r in stats if r["token"] == ""} for c in ("df", "all"))
+    places = {t: i for i, t in enumerate(wanted.to_pylist())}
+    idf = np.zeros((len(boosts), len(places)))
+    for r in stats:
+        if r["token"]:
+            at, df = list(boosts).index(r["field"]), r["df"]
+            idf[at, places[r["token"]]] = float(boosts[r["field"]]) * np.log(1 + (n[r["field"]] - df + 0.5) / (df + 0.5))
+    ratio = [n[f] / all_[f] if all_.get(f) else 0.0 for f in boosts]
+    columns = [tokens(field_text(facts, f)).alias(f"ts{i}") for i, f in enumerate(boosts)]
+    rows = facts.select(F.col(key).alias("key"), *columns)
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, bm25 double"
+    return rows.mapInArrow(_scorer(pairs, wanted, idf, ratio, most), kinds)
+
+
+def _scorer(pairs: pa.Table, wanted: pa.Array, idf: np.ndarray, ratio: list[float], most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes facts as (key, tokens of each field), gives (query_id, key, bm25) of the best."""
+    coded = pairs["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    query, token = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.index_in(pairs["token"].combine_chunks(), wanted).to_numpy(zero_copy_only=False)
+    query, asks = query[np.argsort(token, kind="stable")], np.bincount(token, minlength=len(wanted))
+    begin, ids, many = np.cumsum(asks) - asks, coded.dictionary, len(coded.dictionary)
+
+    def top(held: list[pa.Table], floor: np.ndarray) -> list[pa.Table]:
+        """The best of each query; the scores of the last of them go to the floor."""
+        all_ = pa.concat_tables(held)
+        all_ = all_.take(pc.sort_indices(all_, [("query", "ascending"), ("bm25", "descending"), ("key", "ascending")], null_placement="at_start"))
+        q = all_["query"].to_numpy()
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)]))
+        all_, q, rank = all_.filter(pa.array(rank < most)), q[rank < most], rank[rank < most]
+        floor[q[rank == most - 1]] = all_["bm25"].to_numpy()[rank == most - 1]
+        return [all_]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        floor, waiting = np.full(many, -1.0), 0
+        for batch in batches:
+            parts = []
+            for at, each in enumerate(batch.columns[1:]):
+                length = each.value_lengths().to_numpy(zero_copy_only=False)
+                place = pc.index_in(each.flatten(), wanted).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(len(length)), length)
+                pair, tf = np.unique((doc * len(wanted) + place)[place >= 0], return_counts=True)
+                doc, place = pair // len(wanted), pair % len(wanted)
+                parts.append((doc, place, idf[at, place] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] * ratio[at])))))
+            doc, place, part = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(doc, kind="stable")
+            doc, place, part = doc[order], place[order], part[order]
+            wide = max(1, SCORES // many)
+            # as many facts at once as have SCORES pairs with queries, by number and by shared tokens
+            shared = np.cumsum(asks[place])
+            at = 0
+            while at < len(doc):
+                end = min(np.searchsorted(doc, doc[at] + wide), np.searchsorted(shared, (shared[at - 1] if at else 0) + SCORES) + 1)
+                end = np.searchsorted(doc, doc[min(end, len(doc)) - 1], side="right")
+                d, p, x = doc[at:end] - doc[at], place[at:end], part[at:end]
+                count = asks[p]
+                q = query[np.arange(count.sum()) + np.repeat(begin[p] - (np.cumsum(count) - count), count)]
+                sums = np.bincount(np.repeat(d, count) * many + q, np.repeat(x, count))
+                hit = np.flatnonzero(sums > 0)
+                value = np.floor(sums[hit] * 1e6 + 0.5) / 1e6
+                better = value >= floor[hit % many]
+                hit, value = hit[better], value[better]
+                held.append(pa.table({"query": hit % many, "bm25": value, "key": batch.column(0).take(pa.array(hit // many + doc[at]))}))
+                waiting += len(hit)
+                if waiting > 4 * most * many or waiting > SCORES:
+                    held, waiting = top(held, floor), 0
+                at = end
+        if held:
+            for b in top(held, floor)[0].combine_chunks().to_batches(max_chunksize=50_000):
+                yield pa.RecordBatch.from_arrays([ids.take(b["query"]), b["key"], b["bm25"]], names=["query_id", "key", "bm25"])
+
+    return run
+
+
 def best(hits: DataFrame, score: str, k: int) -> DataFrame:
     """The k best of each query, equals by key, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "key")
@@ -117,7 +214,7 @@ def thresholds(hits: DataFrame, least: float, gap: float) -> DataFrame:
 
 def search(queries: DataFrame, facts: DataFrame, now: Column, k: int = 10, least: float = 0.85, gap: float = 0.1, boosts=None) -> DataFrame:
     """Ranked hits: twice k by BM25, scored by fact type, filtered, cut at k."""
-    found = best(bm25(queries, facts, "id", boosts), "bm25", 2 * k).drop("rank")
+    found = best(bm25(queries, facts, "id", boosts, 2 * k), "bm25", 2 * k).drop("rank")
     own = facts.select(F.col("id").alias("key"), "title", "fact_type", "confidence", "importance", "recency", "valid_until", "updated_at")
     return thresholds(compound(found.join(own, "key"), now), least, gap).where(F.col("rank") <= k)
 

@@ -393,6 +393,21 @@ def test_classification_by_a_callable(spark, tree, tmp_path):
 EDGES = (("a", "b"), ("a", "f"), ("b", "c"), ("c", "d"), ("d", "b"), ("f", "g"), ("g", "d"), ("x", "x"), ("p", "q"), ("q", "p"))
 
 
+def test_best_leave_tasks(spark):
+    """Only the best of each query leave a task, with the ranks that all would give: ties, empty and null texts, an unknown word, a repeated query, and facts that share a key."""
+    words = ["ab", "cd", "ef", "gh", "ij"]
+    rows = [(f"k{n * 7 % 211}", " ".join(words[(n * j) % 5] for j in range(n % 6)) if n % 17 else None, [words[n % 5]] if n % 3 else []) for n in range(211)] + [(None, "ab cd", ["ef"])]
+    facts = spark.createDataFrame(rows, "id string, body string, tags array<string>").repartition(3)
+    asked = spark.createDataFrame([(1, "ab cd"), (2, "gh"), (3, "zz"), (None, "ef ef ij"), (1, "cd ef"), (5, None)], "query_id int, text string")
+    boosts = {"body": 1.0, "tags": 2.5}
+    for own in (facts, facts.union(facts.where("id < 'k2'"))):
+        got, want = search.bm25(asked, own, "id", boosts, most=4), search.bm25(asked, own, "id", boosts)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(str, search.best(got, "bm25", 4).collect())) == sorted(map(str, search.best(want, "bm25", 4).collect()))
+    assert search.bm25(asked, facts, "id", boosts, most=4).count() <= 3 * 4 * 3 < search.bm25(asked, facts, "id", boosts).count()
+    assert search.bm25(asked.where("query_id > 4"), facts, "id", boosts, most=4).count() == 0
+
+
 def plain_paths(edges, sources, hops):
     """{(src, node): path}: breadth first, the first of equally short paths."""
     found = {}
