@@ -226,9 +226,33 @@ def exact_lookup(queries: DataFrame, cached: DataFrame, generation: int, now: Co
     return queries.select("query_id", F.md5("text").alias("mark")).join(held, "mark").select("query_id", "entry")
 
 
+#: Entries, at most, that each query is compared with in its own row. In a join by tokens, rows of a token are dealt to so many.
+FEW_HELD, DEALS = 256, 16
+
+
+def _lookup_few(queries: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """fuzzy_lookup() among few entries, all of which travel to each query: nothing is kept or shuffled for a pair. Queries are shuffled once, as they may come in a few large pieces."""
+    ts = F.array_distinct(tokens("text"))
+    one = held.where("entry is not null").select("at", "entry", ts.alias("ts")).agg(F.collect_list(F.struct("at", "entry", "ts")).alias("held"))
+    asked = queries.select("query_id", "text").repartition("query_id").select("query_id", ts.alias("own")).join(F.broadcast(one))
+
+    def near(h: Column) -> Column:
+        both = F.size(F.array_intersect("own", h["ts"]))
+        all_ = F.size("own") + F.size(h["ts"]) - both
+        alike = F.when(all_ == 0, 1.0).otherwise(F.round(both / F.greatest(all_, F.lit(1)), 6))
+        return F.struct(alike.alias("similarity"), h["at"].alias("at"), h["entry"].alias("entry"))
+
+    found = asked.select("query_id", F.array_max(F.transform("held", near)).alias("b")).where(F.col("b.similarity") >= least)
+    best = F.max(F.struct("b.similarity", "b.at", "b.entry")).alias("b")  # a query may have been asked in several rows
+    return found.groupBy("query_id").agg(best).select("query_id", F.col("b.entry").alias("entry"), "b.similarity")
+
+
 def fuzzy_lookup(queries: DataFrame, cached: DataFrame, least: float, generation: int, now: Column, seconds: int) -> DataFrame:
     """(query_id, entry, similarity) of the most similar text asked before, of equals the newest. Texts without tokens are alike."""
     held = cached.where((F.col("generation") == generation) & (F.unix_timestamp(now) - F.unix_timestamp("at") <= seconds))
+    few = held.select("entry").limit(FEW_HELD + 1).count() <= FEW_HELD
+    if few and least > 0:
+        return _lookup_few(queries, held, least)
     near = token_jaccard(queries.select(F.col("query_id").alias("id"), "text"), held.select(F.col("entry").alias("id"), "text"), least)
     empty = [df.where(F.size(tokens("text")) == 0) for df in (queries, held)]
     alike = empty[0].select(F.col("query_id").alias("left_id"), F.lit(True).alias("on")).join(empty[1].agg(F.max_by("entry", F.struct("at", "entry")).alias("right_id")).where("right_id is not null").withColumn("on", F.lit(True)), "on")
@@ -243,7 +267,10 @@ def token_jaccard(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     def sets(df, side):
         return df.select(F.col("id").alias(f"{side}_id"), F.array_distinct(tokens("text")).alias("ts")).select(f"{side}_id", F.size("ts").alias(f"{side}_n"), F.explode("ts").alias("token"))
 
-    shared = sets(left, "left").join(sets(right, "right"), "token").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count("*").alias("both"))
+    # rows of a common token aren't all of one task
+    deal = F.pmod(F.xxhash64("left_id"), F.lit(DEALS)).cast("int")
+    dealt = sets(right, "right").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    shared = sets(left, "left").withColumn("deal", deal).join(dealt, ["token", "deal"]).groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count("*").alias("both"))
     return shared.select("left_id", "right_id", F.round(F.col("both") / (F.col("left_n") + F.col("right_n") - F.col("both")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 

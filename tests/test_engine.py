@@ -393,6 +393,25 @@ def test_classification_by_a_callable(spark, tree, tmp_path):
 EDGES = (("a", "b"), ("a", "f"), ("b", "c"), ("c", "d"), ("d", "b"), ("f", "g"), ("g", "d"), ("x", "x"), ("p", "q"), ("q", "p"))
 
 
+def test_fuzzy_lookup_of_few(spark, monkeypatch):
+    """Few entries are compared in the query's row, many are joined by tokens, dealt out: the same is found, of equals the newest."""
+    words = [f"w{n}" for n in range(9)]
+    texts = [" ".join(words[(n * j) % 9] for j in range(n % 7)) for n in range(60)]
+    at = F.lit(NOW) + F.make_interval(secs=F.col("entry") % 5)
+    held = spark.createDataFrame([(n, t) for n, t in enumerate(texts[::3])] + [(90, None), (91, "zz")], "entry long, text string").select("entry", "text", F.lit(1).alias("generation"), at.alias("at"))
+    asked = spark.createDataFrame([(n, t) for n, t in enumerate(texts)] + [(7, "w1 w2 w3"), (200, None), (201, "qq"), (None, "zz")], "query_id long, text string")
+    few = search.fuzzy_lookup(asked, held, 0.4, 1, F.lit(NOW), 60)
+    # a task of the join by token would hold a row for each pair
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    got = sorted(map(str, few.collect()))
+    monkeypatch.setattr(search, "FEW_HELD", 0)
+    assert got == sorted(map(str, search.fuzzy_lookup(asked, held, 0.4, 1, F.lit(NOW), 60).collect())) and len(got) > 50
+    assert search.fuzzy_lookup(asked, held.where("entry > 1000"), 0.4, 1, F.lit(NOW), 60).count() == 0
+    monkeypatch.setattr(search, "FEW_HELD", 256)
+    assert search.fuzzy_lookup(asked, held.where("entry > 1000"), 0.4, 1, F.lit(NOW), 60).count() == 0
+
+
 def test_best_leave_tasks(spark):
     """Only the best of each query leave a task, with the ranks that all would give: ties, empty and null texts, an unknown word, a repeated query, and facts that share a key."""
     words = ["ab", "cd", "ef", "gh", "ij"]
